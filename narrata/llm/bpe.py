@@ -18,6 +18,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,7 +153,7 @@ def _encode_words(batches, path: str, pattern: str):
 
 
 def _reassemble(docs: pa.Table, found: pa.Table) -> pa.Table:
-    docs = docs.filter(pa.compute.equal(docs.column("kind"), 0))
+    docs = docs.filter(pc.equal(docs.column("kind"), 0))
     ids: dict[int, bytes] = {}
     for payload in found.column("payload").to_pylist():
         at, *items = unpack_strings(payload)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Yields (first row, last row + 1) so that a slice's texts hold about `limit` bytes at most, or one row."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     first, size = 0, 0
     for i, n in enumerate(lengths):
         if i > first and size + n > limit:

@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op2_byte_bpe
+from .chunks import op8_gear_chunks
+from .minhash import op6_bayes_minhash
 from .packing import op3_histogram_packing
+from .secrets import op5_guess_cost_secrets
 from .sharding import op9_rendezvous_shards
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_histogram_packing, op9_rendezvous_shards)}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_byte_bpe, op3_histogram_packing, op5_guess_cost_secrets, op6_bayes_minhash, op8_gear_chunks, op9_rendezvous_shards)
+}
 ORACLE_SQL: dict[str, str] = {}
