@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .bpe import op2_byte_bpe
 from .chunks import op8_gear_chunks
+from .graph import op1_pruned_graph
+from .gridjoin import op4_grid_order_join
 from .minhash import op6_bayes_minhash
 from .packing import op3_histogram_packing
 from .secrets import op5_guess_cost_secrets
@@ -11,6 +13,8 @@ from .sharding import op9_rendezvous_shards
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_byte_bpe, op3_histogram_packing, op5_guess_cost_secrets, op6_bayes_minhash, op8_gear_chunks, op9_rendezvous_shards)
+    for f in (
+        op1_pruned_graph, op2_byte_bpe, op3_histogram_packing, op4_grid_order_join, op5_guess_cost_secrets, op6_bayes_minhash, op8_gear_chunks, op9_rendezvous_shards,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
