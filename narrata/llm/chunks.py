@@ -246,3 +246,18 @@ def op8_gear_chunks(spark, sf_dir: str) -> DataFrame:
     """A row for each repeated span of all documents."""
     found = repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.explode("repeats").alias("r")).select("doc_id", "r.start", "r.end", "r.n_words", "r.first_doc_id")
+
+
+def without(text, repeats):
+    """The text column less its spans (ordered, apart, as in `repeats`); null and empty spans change nothing."""
+    start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("done"))
+    step = F.aggregate(
+        repeats,
+        start,
+        lambda s, r: F.struct(
+            F.concat(s["kept"], F.substr(text, (s["done"] + 1).cast("int"), (r["start"] - s["done"]).cast("int"))).alias("kept"),
+            r["end"].alias("done"),
+        ),
+        lambda s: F.concat(s["kept"], F.substr(text, (s["done"] + 1).cast("int"))),
+    )
+    return F.when(F.size(repeats) > 0, step).otherwise(text)

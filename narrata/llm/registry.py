@@ -8,13 +8,15 @@ from .graph import op1_pruned_graph
 from .gridjoin import op4_grid_order_join
 from .minhash import op6_bayes_minhash
 from .packing import op3_histogram_packing
+from .quality import op7_co_training
 from .secrets import op5_guess_cost_secrets
 from .sharding import op9_rendezvous_shards
+from .toxicity import op10_factorization_machine
 
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_pruned_graph, op2_byte_bpe, op3_histogram_packing, op4_grid_order_join, op5_guess_cost_secrets, op6_bayes_minhash, op8_gear_chunks, op9_rendezvous_shards,
+        op1_pruned_graph, op2_byte_bpe, op3_histogram_packing, op4_grid_order_join, op5_guess_cost_secrets, op6_bayes_minhash, op7_co_training, op8_gear_chunks, op9_rendezvous_shards, op10_factorization_machine,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
