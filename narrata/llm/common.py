@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,18 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
         yield first, len(lengths)
 
 
+def bipartite_groups(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a bipartite graph: each row's and each column's group (a row's number), the number of rows if alone."""
+    n = len(mask)
+    rows = np.where(mask.any(1), np.arange(n), n)
+    while True:
+        columns = np.where(mask, rows[:, None], n).min(0)
+        new = np.minimum(rows, np.where(mask, columns[None], n).min(1))
+        if (new == rows).all():
+            return rows, columns
+        rows = new
+
+
 def star_components(edges: DataFrame, name: str = "components", rounds: int = 40) -> DataFrame:
     """Connected components of edges (a long, b long): (node, component) for each node that has an edge;
     component is the smallest node of its component. Alternates large and small stars until nothing

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, star_components
+from .common import bipartite_groups, durable, star_components
 from .graph import unit, usable
 
 SAMPLE, DIRECTIONS, CELLS, SMALL, MOST_PARTS = 4096, 16, 6, 256, 2000
@@ -45,18 +45,6 @@ class _Sets:
         self.up[max(x, y)] = min(x, y)
 
 
-def _blocks(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a bipartite graph: each row's and each column's group (a row's number), the number of rows if alone."""
-    n = len(mask)
-    rows = np.where(mask.any(1), np.arange(n), n)
-    while True:
-        columns = np.where(mask, rows[:, None], n).min(0)
-        new = np.minimum(rows, np.where(mask, columns[None], n).min(1))
-        if (new == rows).all():
-            return rows, columns
-        rows = new
-
-
 def join_parts(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight_y: np.ndarray, basis: np.ndarray, least: float):
     """Of the sequences x and y (None: x with itself), unit vectors: the weights linked to each row, and links that
     span the linked rows' groups (rows of y counted after x)."""
@@ -101,7 +89,7 @@ def join_parts(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight
         count_x[a:b] += mask @ weight_y[c:d]
         if not (same and a == c):
             count_y[c:d] += weight_x[a:b] @ mask
-        rows, columns = _blocks(mask)
+        rows, columns = bipartite_groups(mask)
         for i in np.flatnonzero(rows < len(rows)):
             sets.join(a + int(i), a + int(rows[i]))
         for j in np.flatnonzero(columns < len(rows)):
