@@ -152,7 +152,7 @@ def _encode_words(batches, path: str, pattern: str):
         yield pa.RecordBatch.from_pylist(out, pa.schema([("key", pa.int64()), ("payload", pa.binary())]))
 
 
-def _reassemble(docs: pa.Table, found: pa.Table) -> pa.Table:
+def _reassemble(docs: pa.Table, found: pa.Table, finish) -> pa.Table:
     docs = docs.filter(pc.equal(docs.column("kind"), 0))
     ids: dict[int, bytes] = {}
     for payload in found.column("payload").to_pylist():
@@ -160,12 +160,14 @@ def _reassemble(docs: pa.Table, found: pa.Table) -> pa.Table:
         ids.update(zip(np.cumsum(unpack_numbers(at)).tolist(), items, strict=True))
     parts = [b"".join(map(ids.__getitem__, unpack_numbers(p).tolist())) for p in docs.column("payload").to_pylist()]
     keys = [None if null else a for a, null in zip(docs.column("a").to_pylist(), docs.column("b").to_pylist(), strict=True)]
-    return pa.table({"doc_id": pa.array(keys, pa.int64()), "ids": pa.array(parts, pa.large_binary()).cast(pa.binary())})
+    columns = finish(parts) if finish else {"ids": pa.array(parts, pa.binary())}
+    return pa.table({"doc_id": pa.array(keys, pa.int64())} | columns)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", block_bytes: int = 6_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", finish=None, kinds: str = "ids binary", block_bytes: int = 10_000_000) -> DataFrame:
     """(doc_id, ids) for each row of docs: ids as little-endian unsigned 32-bit integers. A null text counts as
-    empty and has no ids; repeated rows and null keys give a row each; other columns of docs are ignored."""
+    empty and has no ids; repeated rows and null keys give a row each; other columns of docs are ignored.
+    `finish` makes other columns (of the SQL types `kinds`) of a block's ids where they are, so that ids needn't travel."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(
         lambda batches: _blocks(batches, n, block_bytes), _SQL
@@ -173,23 +175,23 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     rows = rows.repartition(n, "key")
     ids = rows.mapInArrow(lambda batches: _encode_words(batches, path, pattern), "key long, payload binary")
     # Both readers take all rows, so they share the exchange; groups of a range (negative keys) reassemble to nothing.
-    return rows.groupBy("key").cogroup(ids.groupBy("key")).applyInArrow(_reassemble, "doc_id long, ids binary")
+    return rows.groupBy("key").cogroup(ids.groupBy("key")).applyInArrow(lambda x, y: _reassemble(x, y, finish), f"doc_id long, {kinds}")
+
+
+def decode_ids(ids: bytes, path: str) -> bytes:
+    """The bytes of a text's ids, by the token-byte table."""
+    return b"".join(map(token_bytes(path).__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded with the column `bytes`: the bytes of its column `ids`; null where ids are null."""
+    names, at = list(encoded.columns), list(encoded.columns).index("ids")
 
     def run(batches):
-        table = token_bytes(path)
-        at = encoded_names.index("ids")
         for batch in batches:
-            out = [
-                None if raw is None else b"".join(map(table.__getitem__, np.frombuffer(raw, "<u4").tolist()))
-                for raw in batch.column(at).to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*encoded_names, "bytes"])
+            out = [None if raw is None else decode_ids(raw, path) for raw in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*names, "bytes"])
 
-    encoded_names = list(encoded.columns)
     kinds = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes)
     return encoded.mapInArrow(run, f"{kinds}, bytes binary")
 
@@ -199,10 +201,13 @@ def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
-    found = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, P.PATTERN), path)
-    return found.select(
-        "doc_id",
-        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"),
-    )
+
+    def digests(parts: list[bytes]) -> dict:
+        return {
+            "n_tokens": pa.array([len(x) // 4 for x in parts], pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(decode_ids(x, path)).hexdigest() for x in parts], pa.string()),
+        }
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return encode(docs, path, P.PATTERN, finish=digests, kinds="n_tokens long, ids_sha256 string, decoded_sha256 string")
