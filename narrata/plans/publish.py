@@ -218,7 +218,7 @@ def regional_roll_up(spark, d):
 
 @query(
     f"""{VOL}, y AS (SELECT topic, CAST(n AS DOUBLE) AS v, row_number() OVER (PARTITION BY topic ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY topic) AS k FROM (SELECT topic, date_trunc('month', day) AS m, count(*) AS n FROM vol WHERE topic BETWEEN 0 AND 9 GROUP BY 1, 2)),
-b AS (SELECT DISTINCT topic, k, unnest(generate_series(0, 43)) AS b FROM y), c AS (SELECT topic, b, floor(b * (k / 44)) AS a, greatest(floor((b + 1) * (k / 44)), floor(b * (k / 44)) + 1) AS z FROM b)
+b AS (SELECT DISTINCT topic, k, unnest(generate_series(0, least(k, 44) - 1)) AS b FROM y), c AS (SELECT topic, b, floor(b * (k / least(k, 44))) AS a, greatest(floor((b + 1) * (k / least(k, 44))), floor(b * (k / least(k, 44))) + 1) AS z FROM b)
 SELECT c.topic, CAST(b AS INTEGER) AS pos, round(avg(v), 6) AS mean FROM c JOIN y ON y.topic = c.topic AND i >= a AND i < z GROUP BY 1, 2"""
 )
 def sparklines(spark, d):

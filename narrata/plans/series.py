@@ -135,10 +135,10 @@ def _market_pairs(spark, d):
     return O.weekly_pairs(volume, "adjusted", T.market(spark, d), "value")
 
 
-@query(f"{MARKET} SELECT topic, week, round(v, 5) AS value, round(o, 4) AS other FROM vw JOIN mk USING (week)")
+@query(f"{MARKET} SELECT topic, week, round(v, 5) AS value, round(o, 6) AS other FROM vw JOIN mk USING (week)")
 def market_overlay(spark, d):
     """Weekly volumes beside the level series."""
-    return _market_pairs(spark, d).select("topic", "week", F.round("value", 5).alias("value"), F.round("other", 4).alias("other"))
+    return _market_pairs(spark, d).select("topic", "week", F.round("value", 5).alias("value"), F.round("other", 6).alias("other"))
 
 
 @query(
@@ -182,11 +182,11 @@ def nearest_asof(spark, d):
 
 @query(
     """WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, avg(o_totalprice) AS mean, count(*) AS n FROM orders GROUP BY 1)
-SELECT month, round(mean, 4) AS mean, n FROM m"""
+SELECT month, round(mean, 6) AS mean, n FROM m"""
 )
 def monthly_mean(spark, d):
     """Monthly means."""
-    return O.monthly_mean(T.table(spark, d, "orders"), "o_orderdate", "o_totalprice").withColumn("mean", F.round("mean", 4))
+    return O.monthly_mean(T.table(spark, d, "orders"), "o_orderdate", "o_totalprice").withColumn("mean", F.round("mean", 6))
 
 
 @query(

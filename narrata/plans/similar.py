@@ -127,7 +127,7 @@ tf AS (SELECT topic, term, count(*) AS tf FROM tk GROUP BY 1, 2)"""
 @query(
     f"""{TOKENS}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 g AS (SELECT topic, term, tf * ln(1 + (SELECT count(DISTINCT topic) FROM tf) / (1 + df)) AS weight FROM tf JOIN df USING (term)),
-r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(weight, 9) DESC, term) AS rank FROM g)
+r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY floor(weight * 1e9 + 0.5) DESC, term) AS rank FROM g)
 SELECT topic, term, round(weight, 6) AS weight, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8"""
 )
 def ctfidf_light(spark, d):
@@ -137,7 +137,7 @@ def ctfidf_light(spark, d):
 
 CT = f"""{TOKENS}, sz AS (SELECT topic, sum(tf) AS size FROM tf GROUP BY 1), al AS (SELECT term, sum(tf) AS n FROM tf GROUP BY 1),
 g AS (SELECT topic, term, tf / size * ln(1 + (SELECT avg(size) FROM sz) / n) AS weight FROM tf JOIN sz USING (topic) JOIN al USING (term)),
-ct AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(weight, 9) DESC, term) AS rank FROM g)"""
+ct AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY floor(weight * 1e9 + 0.5) DESC, term) AS rank FROM g)"""
 
 
 @query(f"{CT} SELECT topic, term, round(weight, 8) AS weight, CAST(rank AS INTEGER) AS rank FROM ct WHERE rank <= 10")

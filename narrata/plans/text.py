@@ -242,12 +242,12 @@ def slugs(spark, d):
 
 
 @query(
-    r"""SELECT page_id, list_filter(regexp_split_to_array(lower(url), '[/?=&#.:]+'), lambda t: t <> '' AND NOT regexp_matches(t, '^(https?|www|com|org|net)$|\d')) AS terms FROM pages"""
+    r"""SELECT page_id, array_to_string(list_filter(regexp_split_to_array(lower(url), '[/?=&#.:]+'), lambda t: t <> '' AND NOT regexp_matches(t, '^(https?|www|com|org|net)$|\d')), ' ') AS terms FROM pages"""
 )
 def keyword_artifacts(spark, d):
     """Terms without address parts."""
     terms = F.filter(F.split(F.lower("url"), "[/?=&#.:]+"), lambda t: (t != "") & ~t.rlike(r"^(https?|www|com|org|net)$|\d"))
-    return T.table(spark, d, "pages").select("page_id", terms.alias("terms"))
+    return T.table(spark, d, "pages").select("page_id", F.array_join(terms, " ").alias("terms"))
 
 
 @query(

@@ -10,9 +10,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, where a scan gives fewer partitions than there are cores (one small file with one row group):
+    texts cost far more to process than to move then. A scan of many files stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles; dates are spread by id, as documents have none."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").cast("string").alias("article_id"),
         F.col("source").alias("source_id"),
         F.lit("").alias("title"),

@@ -23,7 +23,7 @@ def connect(sf_dir: str):
 
 def plain(x):
     if isinstance(x, float):
-        return None if math.isnan(x) else round(x, 5) + 0.0
+        return None if math.isnan(x) else x + 0.0
     if isinstance(x, (list, tuple)):
         return tuple(plain(v) for v in x)
     if isinstance(x, dict):
