@@ -240,7 +240,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     joined = joined.join(second.withColumnRenamed("node", "c"), "c", "left").select("digest", F.coalesce("component", "c").alias("group"))
     out = signed.select("doc_id", "n_shingles", "digest").join(joined, "digest", "left")
     group = F.coalesce("group", "doc_id")
-    return out.select("doc_id", "n_shingles", group.alias("component_id"), (F.col("doc_id") == group).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == group, F.lit(True))
+    return out.select("doc_id", "n_shingles", group.alias("component_id"), kept.alias("kept"))
 
 
 def op6_bayes_minhash(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, text_slices
-from .words import _SPACE, Prefix, raw_texts, segments, word_spans
+from .words import _SPACE, Prefix, raw_texts, segments, telling_terms, word_spans
 
 #: Bounds of the samples, by hash order: labelled rows of each label, and unlabelled rows.
 LABELLED, UNLABELLED = 2500, 3000
@@ -65,9 +65,11 @@ def row_views(texts: pa.Array, sources: list, languages: list) -> list[tuple[np.
         lines = int((text == 10).sum()) + 1
         own, c = keys[cut[i] : cut[i + 1]] & ((1 << BITS) - 1), counts[cut[i] : cut[i + 1]]
         w, size = max(words, 1), max(letters, 1)
+        # Shares lean to those of common prose, the more the shorter the text: a few words tell little.
         layout = [
-            np.log1p(len(text)) / 5, np.log1p(words) / 5, np.log1p(lines) / 3, np.log1p(w / lines) / 5, size / w / 10, up / size * 3, digit / size * 5,
-            sign / size * 5, again / w * 3, len(own) / w / 3, float(_SPACE[text].mean()) * 3 if len(text) else 0.0, float(words == 0),
+            np.log1p(len(text)) / 5, np.log1p(words) / 5, np.log1p(lines) / 3, np.log1p(w / lines) / 5, (size + 110) / (w + 20) / 10, (up + 3) / (size + 100) * 3,
+            (digit + 0.3) / (size + 100) * 5, (sign + 2.5) / (size + 100) * 5, again / (w + 20) * 3, (len(own) + 40) / (w + 20) / 3,
+            (float(_SPACE[text].sum()) + 15) / (len(text) + 100) * 3, float(words == 0),
         ]
         meta = np.zeros(LAYOUT + 2 * HASHED, np.float32)
         meta[:LAYOUT] = layout
@@ -99,18 +101,33 @@ class View:
         return x @ self.weights + self.bias
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> "View":
-        """Platt's: a logistic fit of the labels on the raw log-odds."""
+        """Platt's: a logistic fit of the labels on the raw log-odds, by damped Newton steps; its targets stay off 0 and 1, so
+        that a few or separable rows give no steep slope. With one label only the log-odds stay as they are."""
         z = self.raw(x).astype(np.float64)
-        if len(y) and 0 < y.sum() < len(y):
-            target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-            self.slope, self.shift = 1.0, 0.0
-            for _ in range(50):
-                p = 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30)))
-                w = p * (1 - p) + 1e-9
-                g = np.array([((p - target) * z).sum() + 1e-3 * (self.slope - 1), (p - target).sum()])
-                h = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum()]])
-                step = np.linalg.solve(h, g)
-                self.slope, self.shift = self.slope - step[0], self.shift - step[1]
+        ones = int(y.sum())
+        if not 0 < ones < len(y) or not z.std() > 0:
+            return self
+        target = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))
+        centre, scale = z.mean(), z.std()
+        u = np.stack([(z - centre) / scale, np.ones(len(z))], 1)
+
+        def loss(w):
+            v = u @ w
+            return float((np.logaddexp(0, v) - target * v).sum() + 0.05 * w[0] ** 2)
+
+        w, own = np.zeros(2), loss(np.zeros(2))
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(u @ w, -30, 30)))
+            g = u.T @ (p - target) + np.array([0.1 * w[0], 0])
+            h = (u * (p * (1 - p) + 1e-6)[:, None]).T @ u + np.diag([0.1, 1e-6])
+            step, size = np.linalg.solve(h, g), 1.0
+            while size > 1e-6 and loss(w - size * step) > own:
+                size /= 2
+            new = loss(w - size * step)
+            if not new < own - 1e-9:
+                break
+            w, own = w - size * step, new
+        self.slope, self.shift = w[0] / scale, w[1] - w[0] * centre / scale
         return self
 
     def logits(self, x: np.ndarray) -> np.ndarray:
@@ -142,11 +159,8 @@ class CoTrained:
         for (own, _, _), y, use in zip(rows, labels, train, strict=True):
             if use:
                 found[int(y), own] += 1
-        both = found.sum(0)
-        odds = np.log((found[1] + 0.5) / (labels[train].sum() + 1)) - np.log((found[0] + 0.5) / ((1 - labels[train]).sum() + 1))
-        strength = np.abs(odds) * np.sqrt(both) * (both >= 4)
-        terms = np.sort(np.argsort(-strength, kind="stable")[:TERMS])
-        m = cls(terms[strength[terms] > 0], View(0), View(0))
+        ones = int(labels[train].sum())
+        m = cls(telling_terms(found, (int(train.sum()) - ones, ones), TERMS), View(0), View(0))
         (cx, px), (cu, pu) = m.matrices(rows), m.matrices(pool)
         y = labels.astype(np.float32)
         given: list[dict[int, int]] = [{}, {}]  # pseudo-labels of the pool, for each view

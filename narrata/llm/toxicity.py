@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, text_slices
-from .words import Prefix, raw_texts, segments, word_spans
+from .words import Prefix, raw_texts, segments, telling_terms, word_spans
 
 #: Bounds of the training sample, by hash order: rows of each label.
 TRAIN_ROWS = 3000
@@ -69,7 +69,8 @@ class Machine:
 
     @classmethod
     def fit(cls, rows, labels: np.ndarray, share: float, seed: int = 10) -> "Machine":
-        """share: of label 1 among all rows that could have been sampled; the bias is set for it."""
+        """share: of label 1 among all rows that could have been sampled, the score where there's nothing to learn. Else the
+        sample's own odds hold, which weigh both labels alike where each has its full number of rows."""
         n, total = len(rows), 1 << BITS
         if n == 0 or labels.min() == labels.max():  # nothing to tell apart
             p = min(max(share, 1e-3), 1 - 1e-3)
@@ -78,11 +79,7 @@ class Machine:
         for (own, _, _), y in zip(rows, labels, strict=True):
             found[int(y), own] += 1
         ones, zeros = labels.sum(), n - labels.sum()
-        both = found.sum(0)
-        odds = np.log((found[1] + 0.5) / (ones + 1)) - np.log((found[0] + 0.5) / (zeros + 1))
-        strength = np.abs(odds) * np.sqrt(both) * (both >= 4)
-        terms = np.sort(np.argsort(-strength, kind="stable")[:TERMS])
-        terms = terms[strength[terms] > 0]
+        terms = telling_terms(found, (int(zeros), int(ones)), TERMS)
         x = cls.values(rows, terms)
         rng = np.random.default_rng(seed)
         m = cls(terms, 0.0, np.zeros(x.shape[1], np.float32), rng.normal(0, 0.05, (x.shape[1], FACTORS)).astype(np.float32))
@@ -105,8 +102,6 @@ class Machine:
                 m.bias -= 0.1 * grads[0] / sums[0] ** 0.5
                 m.weights -= 0.1 * grads[1] / np.sqrt(sums[1])
                 m.factors -= 0.05 * grads[2] / np.sqrt(sums[2])
-        p = min(max(share, 1e-4), 1 - 1e-4)
-        m.bias += float(np.log(p / (1 - p)) - np.log(ones / zeros))
         return m
 
 

@@ -127,3 +127,15 @@ def shingles(array: pa.Array, k: int) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def telling_terms(found: np.ndarray, rows: tuple[int, int], most: int, least_chi: float = 10.8) -> np.ndarray:
+    """Terms (sorted) whose presence tells two labels apart: of found[label, term], the numbers of rows with the term, out
+    of rows[label]. Chi-square of at least `least_chi` (a chance in a thousand), in four rows or more; the `most` largest."""
+    b, a = found.astype(np.float64)
+    n0, n1 = rows
+    n, both = n0 + n1, a + b
+    spread = both * (n - both) * n1 * n0
+    chi = np.divide(n * (a * (n0 - b) - b * (n1 - a)) ** 2, spread, out=np.zeros(len(a)), where=spread > 0)
+    good = np.flatnonzero((chi >= least_chi) & (both >= 4))
+    return np.sort(good[np.argsort(-chi[good], kind="stable")[:most]])
