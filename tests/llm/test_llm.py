@@ -539,3 +539,11 @@ def test_pipeline_of_odd_rows(spark, sf_dir):
     for name, stage in C.STAGES:
         docs = C.durable(stage(spark, docs, sf_dir), f"none_{name}")
     assert docs.count() == 0
+
+
+def test_against_sql(spark, sf_dir):
+    from harness import compare, connect
+    from narrata.llm import registry
+
+    for name, sql in registry.ORACLE_SQL.items():
+        assert compare(registry.QUERIES[name](spark, sf_dir), sql, connect(sf_dir)) == "", name
