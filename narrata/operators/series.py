@@ -135,3 +135,23 @@ def responsiveness(pairs: DataFrame, key: str = "topic") -> DataFrame:
         yield (getattr(r, key), x["phi"], x["lam"], x["p_ar"], x["p_trend"])
 
     return _map(rows, f, f"{key} {dict(pairs.dtypes)[key]}, phi double, lam double, p_ar double, p_trend double")
+
+
+def surrogates(pairs: DataFrame, key: str = "topic", least_shift: int = 8) -> DataFrame:
+    """(key, r, p): Pearson's correlation of (value, other) by week, and the share of circular shifts of the value, of at
+    least `least_shift` weeks either way, that correlate as strongly."""
+    rows = pairs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("week", "value", "other"))).alias("s"))
+    rows = rows.select(key, F.transform("s", lambda x: x["value"]).alias("v"), F.transform("s", lambda x: x["other"]).alias("o"))
+
+    def f(r):
+        v, o = np.asarray(r.v, float), np.asarray(r.o, float)
+        n = len(v)
+        if n < 3 * least_shift or v.std() == 0 or o.std() == 0:
+            yield (getattr(r, key), None, None)
+            return
+        v, o = (v - v.mean()) / v.std(), (o - o.mean()) / o.std()
+        all_shifts = np.fft.irfft(np.fft.rfft(o) * np.conj(np.fft.rfft(v)), n) / n
+        others = np.abs(all_shifts[least_shift : n - least_shift + 1])
+        yield (getattr(r, key), float(all_shifts[0]), float((1 + (others >= abs(all_shifts[0]) - 1e-12).sum()) / (1 + len(others))))
+
+    return _map(rows, f, f"{key} {dict(pairs.dtypes)[key]}, r double, p double")
