@@ -242,4 +242,4 @@ def op7_co_training(spark, sf_dir: str) -> DataFrame:
     """All documents' quality by both views."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
     machine = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, machine).select("doc_id", "p_content", "p_page", F.col("quality").alias("score"), (F.col("quality") < REJECT).alias("rejected"))
+    return score(docs, machine).select("doc_id", "p_content", "p_page", F.col("quality").alias("score"), (F.col("quality") >= REJECT).alias("kept"))
