@@ -150,9 +150,9 @@ class CoTrained:
     @classmethod
     def fit(cls, rows, labels: np.ndarray, pool) -> "CoTrained":
         """rows with labels (the last fifth calibrates) and rows without."""
-        if not len(rows) or labels.min() == labels.max():  # nothing to learn: all are kept, or none
+        if not len(rows) or labels.min() == labels.max():  # nothing to learn from: all are kept
             out = cls(np.zeros(0, np.int64), View(0), View(LAYOUT + 2 * HASHED))
-            out.content.shift = out.page.shift = 3.0 if not len(rows) or labels.max() == 1 else -3.0
+            out.content.shift = out.page.shift = 3.0
             return out
         train = np.arange(len(rows)) % 5 != 4
         found = np.zeros((2, 1 << BITS), np.int32)
