@@ -60,28 +60,28 @@ def band_keys(rows: DataFrame, seed: int = PARAMS.seed) -> DataFrame:
 
 def keep_first(articles: DataFrame, order: str = "day", window_days: int = 36500) -> DataFrame:
     """(article_id, is_duplicate, duplicate_of): articles in the order of (order, article_id); one that shares a band with
-    an earlier one that stays, within the window, goes. In each round an article is settled by its band mates: it stays
-    once no undecided or kept earlier mate is left, and goes once a kept one is among them; at least each bucket's earliest
-    undecided one is settled, so rounds end."""
+    an earlier one that stays, within the window, goes. Members of a bucket are never paired: each round asks of a bucket
+    only its earliest open member and its kept ones (which lie further apart than the window). An article goes once an
+    earlier kept one is near, and stays once it is the earliest open one of all its buckets; the earliest of all is, so
+    rounds end, and a bucket of copies takes two."""
     rows = articles.select("article_id", F.col(order).alias("at"), flat_text(F.col("title"), F.col("body")).alias("text"))
     keys = band_keys(rows).join(articles.select("article_id", F.col(order).alias("at")), "article_id")
     shared = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    keys = _kept_table(keys.join(shared, ["band", "key"], "left_semi").distinct(), "band_keys")
-    earlier = keys.select("band", "key", F.col("article_id").alias("other"), F.col("at").alias("other_at"))
-    before = (F.col("other_at") < F.col("at")) | ((F.col("other_at") == F.col("at")) & (F.col("other") < F.col("article_id")))
-    near = F.date_diff("at", "other_at") <= window_days
-    edges = _kept_table(keys.join(earlier, ["band", "key"]).where(before & near).select("article_id", "other", "other_at").distinct(), "edges")
-    settled = _kept_table(articles.select("article_id").join(edges, "article_id", "left_anti").select("article_id", F.lit(True).alias("kept"), F.lit(None).cast("string").alias("of")), "settled")
-    left = edges
-    while left.limit(1).count():
-        state = left.join(settled.select(F.col("article_id").alias("other"), F.col("kept").alias("other_kept")), "other", "left")
-        verdict = state.groupBy("article_id").agg(
-            F.min(F.when(F.col("other_kept"), F.struct("other_at", "other"))).alias("first"), F.count_if(F.col("other_kept").isNull()).alias("open")
-        )
-        new = verdict.where("first is not null or open = 0").select("article_id", F.col("first").isNull().alias("kept"), F.col("first.other").alias("of"))
-        settled = _kept_table(settled.union(new), "settled")
-        left = _kept_table(left.join(settled, "article_id", "left_anti"), "left")
-    return articles.select("article_id").join(settled, "article_id", "left").select("article_id", (~F.coalesce("kept", F.lit(True))).alias("is_duplicate"), F.col("of").alias("duplicate_of"))
+    open_ = _kept_table(keys.join(shared, ["band", "key"], "left_semi").distinct(), "band_keys")
+    kept = open_.limit(0).select("band", "key", F.struct("at", "article_id").alias("k"))
+    settled = open_.limit(0).select("article_id", F.lit(None).cast("string").alias("of"))
+    while open_.limit(1).count():
+        own = F.struct("at", "article_id")
+        heads = open_.groupBy("band", "key").agg(F.min(own).alias("head"))
+        state = open_.join(heads, ["band", "key"]).join(kept, ["band", "key"], "left")
+        near = (F.col("k") < own) & (F.date_diff("at", F.col("k.at")) <= window_days)
+        verdict = state.groupBy("article_id").agg(F.min(F.when(near, F.col("k"))).alias("first"), F.bool_or(F.col("head") < own).alias("waits"))
+        verdict = _kept_table(verdict.where("first is not null or not waits").select("article_id", F.col("first.article_id").alias("of")), "verdicts")
+        settled = _kept_table(settled.union(verdict), "settled")
+        stays = open_.join(verdict.where("of is null").select("article_id"), "article_id", "left_semi")
+        kept = _kept_table(kept.union(stays.select("band", "key", own.alias("k"))), "kept")
+        open_ = _kept_table(open_.join(verdict.select("article_id"), "article_id", "left_anti"), "open")
+    return articles.select("article_id").join(settled, "article_id", "left").select("article_id", F.col("of").isNotNull().alias("is_duplicate"), F.col("of").alias("duplicate_of"))
 
 
 def exact(rows: DataFrame, key: str, text: str) -> DataFrame:

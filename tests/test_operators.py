@@ -215,3 +215,22 @@ def test_feed(spark):
 def test_bisection():
     found = feeds.bisect_range("2024-01-01", "2024-01-08", lambda a, b: 100 if a != b else 1, 10)
     assert len(found) == 8 and found[0] == ("2024-01-01", "2024-01-01")
+
+
+def test_keep_first_of_a_large_bucket_and_a_chain(spark):
+    base = [f"word{i}" for i in range(200)]
+    bodies = [" ".join(base)] * 40
+    for i in range(1, 12):  # each a little further from the first
+        bodies.append(" ".join([f"new{j}" for j in range(6 * i)] + base[6 * i :]))
+    rows = articles(spark, bodies).cache()
+    got = {r.article_id: r for r in D.keep_first(rows).collect()}
+    keys = {}
+    for r in D.band_keys(rows.select("article_id", D.flat_text(F.col("title"), F.col("body")).alias("text"))).collect():
+        keys.setdefault(r.article_id, set()).add((r.band, r.key))
+    kept = []
+    for i in range(len(bodies)):  # the rule, one by one
+        name = f"a{i}"
+        if not any(keys[name] & keys[k] for k in kept):
+            kept.append(name)
+        assert got[name].is_duplicate == (name not in kept)
+    assert 1 < len(kept) < 12
