@@ -87,3 +87,23 @@ def keep_first(articles: DataFrame, order: str = "day", window_days: int = 36500
 def exact(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(digest, first, n): texts that occur more than once, and their smallest id."""
     return rows.groupBy(F.sha1(text).alias("digest")).agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1")
+
+
+def exact_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity, docs_a, docs_b) of sets (id, w: distinct words): pairs with a Jaccard similarity of at least the
+    threshold, between the smallest ids of equal sets, with how many rows each stands for. Only each set's rarest words
+    lead to candidates (as many as a similar set can't all miss), so frequent words pair nothing; full sets decide."""
+    classes = sets.where(F.size("w") > 0).groupBy("w").agg(F.min("id").alias("id"), F.count("*").alias("n_docs"))
+    df = classes.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    long = classes.select("id", F.explode("w").alias("word")).join(df, "word")
+    ordered = long.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("rare"))
+    head = (F.size("rare") - F.ceil(F.size("rare") * F.lit(threshold) - 1e-9) + 1).cast("int")
+    keys = ordered.select("id", F.size("rare").alias("n"), F.explode(F.slice("rare", 1, head)).alias("word"))
+    other = keys.select(F.col("id").alias("b"), F.col("n").alias("m"), "word")
+    likely = keys.join(other, "word").where((F.col("id") < F.col("b")) & (F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9))
+    likely = likely.select(F.col("id").alias("a"), "b").distinct()
+    x = classes.select(F.col("id").alias("a"), F.col("w").alias("wa"), F.col("n_docs").alias("docs_a"))
+    y = classes.select(F.col("id").alias("b"), F.col("w").alias("wb"), F.col("n_docs").alias("docs_b"))
+    both = likely.join(x, "a").join(y, "b").withColumn("c", F.size(F.array_intersect("wa", "wb")))
+    score = F.col("c") / (F.size("wa") + F.size("wb") - F.col("c"))
+    return both.where(score >= threshold).select("a", "b", F.round(score, 6).alias("similarity"), "docs_a", "docs_b")

@@ -163,10 +163,10 @@ def directory(spark, d):
     return A.directory(_index(spark, d).select("topic", F.col("n_articles").alias("n")))
 
 
-@query(f"{VOL}, {ADJ} SELECT topic, CAST(date_trunc('week', day - 1) AS DATE) AS week, round(avg(adjusted), 4) AS mean FROM adj WHERE topic BETWEEN 0 AND 9 GROUP BY 1, 2")
+@query(f"{VOL}, {ADJ} SELECT topic, CAST(date_trunc('week', day - 1) AS DATE) AS week, round(avg(adjusted), 4) AS mean FROM adj WHERE topic <> -1 GROUP BY 1, 2")
 def light_series(spark, d):
-    """Weekly means of some topics by weeks after Monday."""
-    topics = spark.range(10).select(F.col("id").cast("int").alias("topic"))
+    """Weekly means of topics under a floor (here above all) by weeks after Monday."""
+    topics = T.volume(spark, d).where("topic <> -1").groupBy("topic").agg(F.countDistinct("article_id").alias("n")).where("n < 1000000000")
     return A.light(V.adjusted_volume(T.volume(spark, d)), topics)
 
 
@@ -217,13 +217,13 @@ def regional_roll_up(spark, d):
 
 
 @query(
-    f"""{VOL}, y AS (SELECT topic, CAST(n AS DOUBLE) AS v, row_number() OVER (PARTITION BY topic ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY topic) AS k FROM (SELECT topic, date_trunc('month', day) AS m, count(*) AS n FROM vol WHERE topic BETWEEN 0 AND 9 GROUP BY 1, 2)),
+    f"""{VOL}, y AS (SELECT topic, CAST(n AS DOUBLE) AS v, row_number() OVER (PARTITION BY topic ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY topic) AS k FROM (SELECT topic, date_trunc('month', day) AS m, count(*) AS n FROM vol GROUP BY 1, 2)),
 b AS (SELECT DISTINCT topic, k, unnest(generate_series(0, least(k, 44) - 1)) AS b FROM y), c AS (SELECT topic, b, floor(b * (k / least(k, 44))) AS a, greatest(floor((b + 1) * (k / least(k, 44))), floor(b * (k / least(k, 44))) + 1) AS z FROM b)
 SELECT c.topic, CAST(b AS INTEGER) AS pos, round(avg(v), 6) AS mean FROM c JOIN y ON y.topic = c.topic AND i >= a AND i < z GROUP BY 1, 2"""
 )
 def sparklines(spark, d):
     """Monthly counts in 44 buckets."""
-    rows = T.volume(spark, d).where("topic between 0 and 9").groupBy("topic", F.trunc("day", "MM").alias("m")).agg(F.count("*").cast("double").alias("n"))
+    rows = T.volume(spark, d).groupBy("topic", F.trunc("day", "MM").alias("m")).agg(F.count("*").cast("double").alias("n"))
     packed = rows.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "n"))), lambda s: s["n"]).alias("v"))
     return packed.select("topic", F.posexplode(A.sparkline(F.col("v"))).alias("pos", "mean")).withColumn("mean", F.round("mean", 6))
 
@@ -236,10 +236,10 @@ def node_sizes(spark, d):
     return rows.crossJoin(F.broadcast(ends)).select("topic", F.round(A.node_size(F.col("n_articles"), F.col("a"), F.col("b")), 6).alias("size"))
 
 
-@query("SELECT topic, pos, round((v - a) / (b - a) * 90, 6) AS height FROM (SELECT label AS topic, CAST(unnest(embedding) AS DOUBLE) AS v, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, CAST(list_min(embedding) AS DOUBLE) AS a, CAST(list_max(embedding) AS DOUBLE) AS b FROM embeddings WHERE vec_id < 20)")
+@query("SELECT topic, pos, round((v - a) / (b - a) * 90, 6) AS height FROM (SELECT vec_id AS topic, CAST(unnest(embedding) AS DOUBLE) AS v, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, CAST(list_min(embedding) AS DOUBLE) AS a, CAST(list_max(embedding) AS DOUBLE) AS b FROM embeddings)")
 def bar_heights(spark, d):
     """Values between their ends."""
-    rows = T.table(spark, d, "embeddings").where("vec_id < 20").select(F.col("label").alias("topic"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    rows = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("topic"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return rows.select("topic", F.posexplode(A.bar_heights(F.col("v"), 90.0)).alias("pos", "height")).withColumn("height", F.round("height", 6))
 
 

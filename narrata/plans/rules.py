@@ -82,13 +82,13 @@ def calendar_union(spark, d):
 
 
 @query(
-    f"""{ART}, w AS (SELECT CAST(article_id AS BIGINT) AS id, list_distinct(regexp_split_to_array(lower(substr(body, 1, 400)), '[^\\p{{L}}]+')) AS w FROM art),
+    f"""{ART}, w AS (SELECT CAST(article_id AS BIGINT) AS id, list_distinct(regexp_split_to_array(lower(body), '[^\\p{{L}}]+')) AS w FROM art),
 p AS (SELECT a.id, len(list_intersect(a.w, b.w)) AS both_n, len(list_distinct(list_concat(a.w, b.w))) AS any_n FROM w a JOIN w b ON b.id = a.id + 1)
 SELECT id, CAST(both_n AS INTEGER) AS both_n, CAST(any_n AS INTEGER) AS any_n, round(coalesce(both_n / nullif(any_n, 0), 0), 6) AS jaccard FROM p"""
 )
 def set_sizes(spark, d):
     """Shared and joint words of neighbours."""
-    words = F.array_distinct(F.split(F.lower(F.substring("body", 1, 400)), r"[^\p{L}]+"))
+    words = F.array_distinct(F.split(F.lower("body"), r"[^\p{L}]+"))
     rows = T.articles(spark, d).select(F.col("article_id").cast("long").alias("id"), words.alias("w"))
     pairs = rows.join(rows.select((F.col("id") - 1).alias("id"), F.col("w").alias("v")), "id")
     both, joint = F.size(F.array_intersect("w", "v")), F.size(F.array_union("w", "v"))
@@ -96,12 +96,12 @@ def set_sizes(spark, d):
 
 
 @query(
-    f"""{VOL}, s AS (SELECT {_sunday('day')} AS week, CAST(count(*) AS DOUBLE) AS v FROM vol WHERE topic = 7 GROUP BY 1),
-w AS (SELECT CAST(unnest(generate_series(min(week), max(week), INTERVAL 7 DAY)) AS DATE) AS week FROM s) SELECT week, coalesce(v, 0) AS value FROM w LEFT JOIN s USING (week)"""
+    f"""{VOL}, s AS (SELECT topic, {_sunday('day')} AS week, CAST(count(*) AS DOUBLE) AS v FROM vol GROUP BY 1, 2),
+w AS (SELECT topic, CAST(unnest(generate_series(min(week), max(week), INTERVAL 7 DAY)) AS DATE) AS week FROM s GROUP BY topic) SELECT topic, week, coalesce(v, 0) AS value FROM w LEFT JOIN s USING (topic, week)"""
 )
 def sunday_week_sums(spark, d):
-    """Weekly sums of a topic, silent weeks 0."""
-    return V.sunday_weeks(T.volume(spark, d).where("topic = 7").withColumn("one", F.lit(1.0)), "one", "sum")
+    """Weekly sums of each topic, silent weeks 0."""
+    return V.sunday_weeks(T.volume(spark, d).withColumn("one", F.lit(1.0)), "one", "sum", "topic")
 
 
 @query(

@@ -115,7 +115,7 @@ def best_lens(spark, d):
 
 
 @query(
-    f"""{VOL}, {SMOOTH}, s AS (SELECT topic, i, n_days, y FROM smooth WHERE topic <> -1 AND n_days > 160)
+    f"""{VOL}, {SMOOTH}, s AS (SELECT topic, i, n_days, y FROM smooth WHERE topic <> -1)
 SELECT topic, CAST(max(n_days) AS INTEGER) AS n, CAST(count(*) FILTER (i BETWEEN topic * 3 AND topic * 3 + 40) AS INTEGER) AS inside, round(sum(y) FILTER (i BETWEEN topic * 3 AND topic * 3 + 40), 4) AS total FROM s GROUP BY 1"""
 )
 def reprojection(spark, d):
@@ -123,7 +123,7 @@ def reprojection(spark, d):
     rows = S.reprojected(_fits(spark, d).where("lens = 'sir'"), _smooth(spark, d))
     inside = F.filter("padded", lambda v: v.isNotNull())
     total = F.aggregate(inside, F.lit(0.0), lambda s, v: s + v)
-    return rows.where(F.size("padded") > 160).select("topic", F.size("padded").alias("n"), F.size(inside).alias("inside"), F.round(total, 4).alias("total"))
+    return rows.select("topic", F.size("padded").alias("n"), F.size(inside).alias("inside"), F.round(total, 4).alias("total"))
 
 
 MARKET = f"""{VOL}, {ADJ}, vw AS (SELECT topic, {_sunday('day')} AS week, sum(adjusted) AS v FROM adj WHERE topic <> -1 GROUP BY 1, 2),
@@ -203,11 +203,11 @@ def monthly_corr(spark, d):
 
 @query(
     f"""{VOL}, {ADJ}, p AS (SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
-SELECT topic, day, n_1 AS n FROM (SELECT topic, a.day, p.n AS n_1 FROM adj a LEFT JOIN p USING (day)) WHERE topic = 3"""
+SELECT topic, day, n_1 AS n FROM (SELECT topic, a.day, p.n AS n_1 FROM adj a LEFT JOIN p USING (day))"""
 )
 def overlay_on_grid(spark, d):
-    """An external series on a topic's days."""
-    grid = V.adjusted_volume(T.volume(spark, d)).where("topic = 3").select("topic", "day")
+    """An external series on each topic's days."""
+    grid = V.adjusted_volume(T.volume(spark, d)).select("topic", "day")
     press = T.press(spark, d).where("query = 'R'").select("day", F.col("story_count").alias("n"))
     return O.on_grid(grid, press, "n").select("topic", "day", "n")
 

@@ -48,13 +48,14 @@ def semantic_edges(spark, d):
 
 
 def _prototypes(spark, d):
-    """The first vectors stand for the codes' encoded descriptions."""
-    rows = T.table(spark, d, "embeddings").where(F.col("vec_id") < len(S.CODES))
-    return rows.select(F.substring(F.lit(S.CODES), F.col("vec_id").cast("int") + 1, F.lit(1)).alias("code"), F.col("embedding").alias("vector"))
+    """Means of vectors dealt to the codes stand for the codes' encoded descriptions."""
+    rows = T.table(spark, d, "embeddings").withColumn("code", F.substring(F.lit(S.CODES), (F.col("vec_id") % len(S.CODES)).cast("int") + 1, F.lit(1)))
+    return S.centroids(rows, WIDTH, "code").select("code", F.col("centroid").alias("vector"))
 
 
 @query(
-    f"""{CENT}, pr AS (SELECT substr('{S.CODES}', CAST(vec_id AS INTEGER) + 1, 1) AS code, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id < {len(S.CODES)}),
+    f"""{CENT}, pu AS (SELECT substr('{S.CODES}', CAST(vec_id % {len(S.CODES)} AS INTEGER) + 1, 1) AS code, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+pm AS (SELECT code, i, avg(CAST(x AS DOUBLE)) AS x FROM pu GROUP BY 1, 2), pr AS (SELECT code, list(x ORDER BY i) AS v FROM pm GROUP BY 1),
 s AS (SELECT topic, code, list_dot_product(c, v) / (n * sqrt(list_dot_product(v, v))) AS s FROM cent CROSS JOIN pr),
 r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY s DESC, code) AS r FROM s)
 SELECT a.topic, a.code AS primary_code, round(a.s, 6) AS similarity, b.code AS runner_up, round(a.s - b.s, 6) AS runner_up_gap, a.code IN ('E', 'F', 'G', 'H', 'J') AS in_scope
@@ -201,20 +202,15 @@ def exact_duplicates(spark, d):
 
 
 @query(
-    r"""WITH s AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS w FROM documents WHERE n_chars BETWEEN 200 AND 600) WHERE length(w) >= 8),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT a, b, round(c / (x.n + y.n - c), 6) AS similarity FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= 0.85"""
+    r"""WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}]+'), lambda x: length(x) >= 8))) AS w FROM documents),
+k AS (SELECT min(doc_id) AS id, w, count(*) AS n_docs FROM w WHERE len(w) > 0 GROUP BY w), s AS (SELECT id, unnest(w) AS w FROM k),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.w = b.w AND a.id < b.id GROUP BY 1, 2)
+SELECT a, b, round(c / (len(x.w) + len(y.w) - c), 6) AS similarity, x.n_docs AS docs_a, y.n_docs AS docs_b FROM p JOIN k x ON x.id = a JOIN k y ON y.id = b WHERE c / (len(x.w) + len(y.w) - c) >= 0.85"""
 )
 def jaccard_pairs(spark, d):
-    """Exact similarity of short documents' long words, through an inverted index."""
-    rows = T.table(spark, d, "documents").where("n_chars between 200 and 600")
-    words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")), lambda w: F.length(w) >= 8)
-    sets = rows.select("doc_id", F.array_distinct(words).alias("w")).withColumn("n", F.size("w"))
-    long = sets.select("doc_id", "n", F.explode("w").alias("w"))
-    other = long.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), "w")
-    both = long.join(other, "w").where("doc_id < b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
-    score = F.col("c") / (F.col("n") + F.col("m") - F.col("c"))
-    return both.where(score >= 0.85).select("a", "b", F.round(score, 6).alias("similarity"))
+    """Documents with nearly the same long words, exactly; documents with the same words are one class."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) >= 8)
+    return D.exact_pairs(T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_sort(F.array_distinct(words)).alias("w")), 0.85)
 
 
 @query(None)
