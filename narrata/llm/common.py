@@ -31,12 +31,12 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
-    """Yields (first row, last row + 1) so that a slice's texts hold about `limit` bytes at most, or one row."""
+def text_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20, rows: int = 2000):
+    """Yields (first row, last row + 1) so that a slice has at most `rows` rows and its texts about `limit` bytes, or one row."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     first, size = 0, 0
     for i, n in enumerate(lengths):
-        if i > first and size + n > limit:
+        if i > first and (size + n > limit or i - first >= rows):
             yield first, i
             first, size = i, 0
         size += n
