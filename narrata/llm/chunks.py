@@ -1,9 +1,10 @@
 """Substring dedup by content-defined chunks.
 
 A gear hash rolls over the bytes; a chunk ends before a word where the hash's top bits are zero, so
-chunks resist insertions. Chunks are dealt packed, by digest; within a range of digests equal ones meet
-and the smallest (id, place) wins. A run of chunks that have an earlier copy is a repeat, if one winning
-document covers enough of its words."""
+chunks resist insertions. Chunks, and the shortest windows of neighbouring chunks with enough words, are
+dealt packed, by digest; within a range of digests equal ones meet and the smallest (id, place) wins. A
+window that has an earlier copy is a repeat, whoever holds its chunks; so is a run of chunks that have
+one, if one winning document covers enough of its words."""
 
 from __future__ import annotations
 
@@ -62,6 +63,20 @@ def cuts(raw: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def items(words: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 chunk of what is compared, ordered by place: each chunk, and from and up to each chunk the
+    shortest window of at least `least_words`. These windows cover any run of chunks that has so many words."""
+    n = len(words)
+    sums = np.concatenate([[0], np.cumsum(words)])
+    at = np.arange(n)
+    to = np.searchsorted(sums, sums[:-1] + least_words)
+    since = np.searchsorted(sums, sums[1:] - least_words, "right") - 1
+    first = np.concatenate([at, at[to <= n], since[since >= 0]])
+    last = np.concatenate([at + 1, to[to <= n], at[since >= 0] + 1])
+    place = np.unique(first * (n + 1) + last)
+    return place // (n + 1), place % (n + 1)
+
+
 def _zigzag(x: np.ndarray) -> np.ndarray:
     return np.where(x < 0, -2 * x - 1, 2 * x)
 
@@ -78,9 +93,9 @@ def _unpack_longs(raw: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(raw), "<i8"))
 
 
-def _blocks(batches, ranges: int, block_bytes: int, keep_text: bool):
-    """kind 0: a document of a block: its chunks' starts (code points), words and numbers in the block; kind 1: of a
-    block, in one range of digests, the first of each digest: number, document, whether the block has it again."""
+def _blocks(batches, ranges: int, block_bytes: int, keep_text: bool, least_words: int):
+    """kind 0: a document of a block: its chunks' starts (code points) and words, and its items' numbers in the block;
+    kind 1: of a block, in one range of digests, the first of each digest: number, document, whether the block has it again."""
     from pyspark import TaskContext
 
     block = TaskContext.get().partitionId() << 24
@@ -97,13 +112,13 @@ def _blocks(batches, ranges: int, block_bytes: int, keep_text: bool):
         new[1:] = (digests[0][order][1:] != digests[0][order][:-1]) | (digests[1][order][1:] != digests[1][order][:-1])
         first = order[new]
         again = np.diff(np.append(np.flatnonzero(new), len(order))) > 1
-        code = np.zeros(len(order), np.int64)  # each chunk's number is the place of its digest's first copy
+        code = np.zeros(len(order), np.int64)  # each item's number is the place of its digest's first copy
         code[order] = np.repeat(first, np.diff(np.append(np.flatnonzero(new), len(order))))
         at = 0
         for doc, hi, _, starts, words, text in hold:
             own = code[at : at + len(hi)]
             back = own - np.arange(at, at + len(hi))
-            payload = [pack_numbers(np.array([len(hi)])), pack_numbers(np.diff(starts)), pack_numbers(words), pack_numbers(_zigzag(back))]
+            payload = [pack_numbers(np.array([len(words)])), pack_numbers(np.diff(starts)), pack_numbers(words), pack_numbers(_zigzag(back))]
             rows.append((block, 0, block, doc, zlib.compress(b"".join(payload), 1) + at.to_bytes(8, "little"), zlib.compress(text, 1) if keep_text else None))
             at += len(hi)
         by = np.argsort(first, kind="stable")
@@ -126,15 +141,16 @@ def _blocks(batches, ranges: int, block_bytes: int, keep_text: bool):
             if key is None or (not len(raw) and not keep_text):
                 continue
             found = cuts(raw)
-            a, b = found[:-1], found[1:]
+            begin = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+            inside = ~_SPACE[raw]
+            word = np.concatenate([[0], np.cumsum(inside & np.concatenate([[True], ~inside[:-1]]))]) if len(raw) else np.zeros(1, np.int64)
+            words = np.diff(word[found])
+            a, b = (found[x] for x in items(words, least_words))
             hashes = Prefix(raw)
             hi = hashes.hashes(a, b)
             # A second hash: the same bytes seen as pairs.
             lo = Prefix(np.bitwise_xor(raw, np.roll(raw, 1) * np.uint8(3) + np.uint8(1)) if len(raw) else raw).hashes(np.minimum(a + 1, b), b)
-            begin = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-            inside = ~_SPACE[raw]
-            word = np.concatenate([[0], np.cumsum(inside & np.concatenate([[True], ~inside[:-1]]))]) if len(raw) else np.zeros(1, np.int64)
-            hold.append((key, hi, mix(lo ^ hi), begin[found], np.diff(word[found]), raw.tobytes()))
+            hold.append((key, hi, mix(lo ^ hi), begin[found], words, raw.tobytes()))
             size += len(raw)
             if size >= block_bytes:
                 yield flush()
@@ -180,6 +196,38 @@ def _match(table: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(out_key, pa.int64()), "payload": pa.array(out, pa.binary())})
 
 
+def _runs(marked: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], marked.astype(np.int8), [0]])))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
+def _spans(words: np.ndarray, starts: np.ndarray, seen: np.ndarray, owner: np.ndarray, least_words: int) -> list[dict]:
+    """The repeats of one document; seen: its items that have an earlier copy; owner: the winner's document."""
+    n = len(words)
+    first, last = items(words, least_words)
+    single = np.flatnonzero(last == first + 1)
+    chunk_seen, chunk_owner = seen[single], owner[single]
+    sums = np.concatenate([[0], np.cumsum(words)])
+    long = np.flatnonzero(seen & (sums[last] - sums[first] >= least_words))
+    marked = np.cumsum(np.bincount(first[long], minlength=n + 1) - np.bincount(last[long], minlength=n + 1))[:n] > 0
+    for a, b in _runs(chunk_seen):
+        if sums[b] - sums[a] >= least_words and np.bincount(np.unique(chunk_owner[a:b], return_inverse=True)[1], words[a:b]).max() >= least_words:
+            marked[a:b] = True
+    spans = []
+    for a, b in _runs(marked):
+        # The document that wins the most words: each chunk's winner, and those of the windows for all of theirs.
+        inner = long[(first[long] >= a) & (last[long] <= b)]
+        alone = a + np.flatnonzero(chunk_seen[a:b])
+        low, high = np.concatenate([first[inner], alone]), np.concatenate([last[inner], alone + 1])
+        source, which = np.unique(np.concatenate([owner[inner], chunk_owner[alone]]), return_inverse=True)
+        share = [0] * len(source)
+        for k in range(len(source)) if len(source) > 1 else ():
+            x, y = low[which == k], high[which == k]
+            share[k] = int(words[a:b][np.cumsum(np.bincount(x - a, minlength=b - a + 1) - np.bincount(y - a, minlength=b - a + 1))[:-1] > 0].sum())
+        spans.append({"start": int(starts[a]), "end": int(starts[b]), "n_words": int(sums[b] - sums[a]), "first_doc_id": int(source[int(np.argmax(share))])})
+    return spans
+
+
 def _repeats(docs: pa.Table, found: pa.Table, least_words: int, keep_text: bool) -> pa.Table:
     docs = docs.filter(pc.equal(docs.column("kind"), 0))
     numbers, owners, wins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -198,22 +246,16 @@ def _repeats(docs: pa.Table, found: pa.Table, least_words: int, keep_text: bool)
         values = unpack_numbers(raw)
         n = int(values[0])
         starts = np.concatenate([[0], np.cumsum(values[1 : n + 1])])
-        words, code = values[n + 1 : 2 * n + 1], _unzigzag(values[2 * n + 1 :]) + first + np.arange(n)
+        words, back = values[n + 1 : 2 * n + 1], _unzigzag(values[2 * n + 1 :])
+        place = first + np.arange(len(back))
+        code = back + place
         where = np.searchsorted(numbers, code)
-        seen = np.zeros(n, bool)
+        seen = np.zeros(len(back), bool)
         if len(numbers):
             where = np.minimum(where, len(numbers) - 1)
             # The winner itself stays: the first copy in the winning block.
-            seen = (numbers[where] == code) & ~((wins[where] == 1) & (code == first + np.arange(n)))
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], seen.astype(np.int8), [0]])))
-        spans = []
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if int(words[a:b].sum()) < least_words:
-                continue
-            source, place = np.unique(owners[where[a:b]], return_inverse=True)
-            share = np.bincount(place, words[a:b])
-            if share.max() >= least_words:
-                spans.append({"start": int(starts[a]), "end": int(starts[b]), "n_words": int(words[a:b].sum()), "first_doc_id": int(source[share.argmax()])})
+            seen = (numbers[where] == code) & ~((wins[where] == 1) & (code == place))
+        spans = _spans(words, starts, seen, owners[where] if len(numbers) else where, least_words) if seen.any() else []
         if keep_text:
             whole, parts, done = zlib.decompress(text).decode(), [], 0
             for s in spans:
@@ -236,7 +278,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     share an id each counts as a document of its own, the first in the input being the original."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    rows = rows.mapInArrow(lambda b: _blocks(b, n, block_bytes, keep_text), _SQL).repartition(n, "key")
+    rows = rows.mapInArrow(lambda b: _blocks(b, n, block_bytes, keep_text, least_words), _SQL).repartition(n, "key")
     found = rows.groupBy("key").applyInArrow(_match, "key long, payload binary")
     kind = "doc_id long, repeats array<struct<start:long,end:long,n_words:long,first_doc_id:long>>" + ", text string" * keep_text
     return rows.groupBy("key").cogroup(found.groupBy("key")).applyInArrow(lambda x, y: _repeats(x, y, least_words, keep_text), kind)

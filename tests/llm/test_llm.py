@@ -357,6 +357,35 @@ def test_passages_are_caught_wherever_they_stand(spark):
             assert s.first_doc_id == r.doc_id // 10 * 10 and text[r.doc_id][s.start : s.end] in text[s.first_doc_id]
 
 
+def test_passages_of_lines_that_stand_alone_before(spark):
+    rows, want = [], {}
+    for i in range(40):
+        lines = [passage(30_000 + 3 * i + k, 19) for k in range(3)]
+        rows += [(10 * i + k, f"{passage(40_000 + 10 * i + k, 30)}\n{x}\n{passage(50_000 + 10 * i + k, 30)}") for k, x in enumerate(lines)]
+        both = "\n".join(lines)
+        rows += [(10 * i + k, f"{passage(60_000 + 10 * i + k, 9)}\n{both}\n{passage(70_000 + 10 * i + k, 30)}") for k in (5, 6)]
+        want[10 * i + 6] = both
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {r.doc_id: r.repeats for r in chunks.repeated_spans(docs, block_bytes=2000).collect()}
+    text = dict(rows)
+    assert set(found) == set(want)
+    for i, spans in found.items():
+        assert all(s.n_words >= 20 and text[i][s.start : s.end] in text[i - 1] for s in spans)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_windows_cover_every_run_of_enough_words(seed):
+    n = np.random.default_rng(seed).integers(0, 15, 40)
+    first, last = chunks.items(n, 20)
+    assert {(i, i + 1) for i in range(40)} <= set(zip(first.tolist(), last.tolist(), strict=True))
+    assert sorted(zip(first, last, strict=True)) == list(zip(first, last, strict=True))
+    for a in range(40):
+        for b in range(a + 1, 41):
+            if n[a:b].sum() >= 20:
+                inside = (first >= a) & (last <= b) & np.array([n[x:y].sum() >= 20 for x, y in zip(first, last, strict=True)])
+                assert set(range(a, b)) == {c for x, y in zip(first[inside], last[inside], strict=True) for c in range(x, y)}
+
+
 def test_insertions_shift_no_chunks():
     a = passage(1, 400).encode()
     cut = lambda b: {b[x:y] for x, y in zip(chunks.cuts(np.frombuffer(b, np.uint8))[:-1], chunks.cuts(np.frombuffer(b, np.uint8))[1:], strict=True)}
