@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from narrata.llm import chunks, minhash, packing, quality, secrets
 from narrata.llm.common import durable
 
+#: A column for a row's number or mark, as ids may repeat.
+ROW = "__pipeline_row"
+
 
 def quality_filter(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the co-trained classifier finds bad."""
@@ -19,16 +22,24 @@ def quality_filter(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    gone = minhash.near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps the row with the smallest id (of equal ids the first, null last) of each group of near duplicates
+    (five-word shingles, similarity 0.8)."""
+    rows = durable(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline_rows")  # written: the numbers stay
+    groups = minhash.near_duplicates(rows, k=5, percent=80, key=ROW).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("__pipeline_group"))
+    groups = durable(groups.join(rows.select(ROW, "doc_id"), ROW), "pipeline_groups")
+    first = groups.groupBy("__pipeline_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first"), F.count("*").alias("n"))
+    gone = groups.join(first.where("n > 1"), "__pipeline_group").where(F.col(ROW) != F.col(f"first.{ROW}")).select(ROW)
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out passages that an earlier document has; the document stays, whatever is left of it."""
-    found = chunks.repeated_spans(docs).select("doc_id", F.col("repeats").alias("__pipeline_repeats")).dropDuplicates(["doc_id"])
-    joined = docs.join(found, "doc_id", "left")
-    return joined.withColumn("text", chunks.without(F.col("text"), F.col("__pipeline_repeats"))).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rest = [c for c in docs.columns if c != "text"]
+    # Ids may repeat, so each row carries its columns along; rows without an id are not compared.
+    found = chunks.repeated_spans(docs.withColumn(ROW, F.col("text").isNull()), keep_text=True, keep=(*rest, ROW))
+    found = found.select(*(F.col("kept")[c].alias(c) for c in rest), F.when(~F.col("kept")[ROW], F.col("text")).alias("text"))
+    out = found.unionByName(docs.where(F.col("doc_id").cast("long").isNull()))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def secret_removal(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .bpe import pack_numbers, unpack_numbers
 from .words import _SPACE, Prefix, mix, raw_texts
@@ -100,6 +101,7 @@ def _blocks(batches, ranges: int, block_bytes: int, keep_text: bool, least_words
 
     block = TaskContext.get().partitionId() << 24
     rows: list[tuple] = []
+    schema = _ROWS
     hold: list[tuple] = []
     size = 0
 
@@ -115,11 +117,11 @@ def _blocks(batches, ranges: int, block_bytes: int, keep_text: bool, least_words
         code = np.zeros(len(order), np.int64)  # each item's number is the place of its digest's first copy
         code[order] = np.repeat(first, np.diff(np.append(np.flatnonzero(new), len(order))))
         at = 0
-        for doc, hi, _, starts, words, text in hold:
+        for doc, hi, _, starts, words, text, kept in hold:
             own = code[at : at + len(hi)]
             back = own - np.arange(at, at + len(hi))
             payload = [pack_numbers(np.array([len(words)])), pack_numbers(np.diff(starts)), pack_numbers(words), pack_numbers(_zigzag(back))]
-            rows.append((block, 0, block, doc, zlib.compress(b"".join(payload), 1) + at.to_bytes(8, "little"), zlib.compress(text, 1) if keep_text else None))
+            rows.append((block, 0, block, doc, zlib.compress(b"".join(payload), 1) + at.to_bytes(8, "little"), zlib.compress(text, 1) if keep_text else None, kept))
             at += len(hi)
         by = np.argsort(first, kind="stable")
         first, again = first[by], again[by]
@@ -129,13 +131,16 @@ def _blocks(batches, ranges: int, block_bytes: int, keep_text: bool, least_words
             head = zlib.compress(pack_numbers(np.diff(own, prepend=0) * 2 + again[deal == r]), 1)
             docs = _pack_longs(owner[own])
             payload = len(head).to_bytes(4, "little") + len(docs).to_bytes(4, "little") + head + docs
-            rows.append((-1 - int(r), 1, block, len(own), payload + digests[0][own].tobytes() + (digests[1][own] >> np.uint64(32)).astype("<u4").tobytes(), None))
-        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ROWS.types, strict=True)], schema=_ROWS)
+            rows.append((-1 - int(r), 1, block, len(own), payload + digests[0][own].tobytes() + (digests[1][own] >> np.uint64(32)).astype("<u4").tobytes(), None, None))
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=False)], schema=schema)
         rows.clear()
         hold = []
         return out
 
     for batch in batches:
+        others = [None] * batch.num_rows
+        if batch.num_columns > 2:
+            schema, others = _ROWS.append(pa.field("kept", batch.schema.types[2])), batch.column(2).to_pylist()
         for i, key in enumerate(batch.column(0).to_pylist()):
             raw, _ = raw_texts(batch.column(1).slice(i, 1))
             if key is None or (not len(raw) and not keep_text):
@@ -150,7 +155,7 @@ def _blocks(batches, ranges: int, block_bytes: int, keep_text: bool, least_words
             hi = hashes.hashes(a, b)
             # A second hash: the same bytes seen as pairs.
             lo = Prefix(np.bitwise_xor(raw, np.roll(raw, 1) * np.uint8(3) + np.uint8(1)) if len(raw) else raw).hashes(np.minimum(a + 1, b), b)
-            hold.append((key, hi, mix(lo ^ hi), begin[found], words, raw.tobytes()))
+            hold.append((key, hi, mix(lo ^ hi), begin[found], words, raw.tobytes(), others[i]))
             size += len(raw)
             if size >= block_bytes:
                 yield flush()
@@ -241,7 +246,8 @@ def _repeats(docs: pa.Table, found: pa.Table, least_words: int, keep_text: bool)
     by = np.argsort(numbers)
     numbers, owners, wins = numbers[by], owners[by], wins[by]
     out: dict[str, list] = {"doc_id": [], "repeats": [], "text": []}
-    for doc, payload, text in zip(docs.column("a").to_pylist(), docs.column("payload").to_pylist(), docs.column("text").to_pylist(), strict=True):
+    at: list[int] = []
+    for i, (doc, payload, text) in enumerate(zip(*(docs.column(c).to_pylist() for c in ("a", "payload", "text")), strict=True)):
         raw, first = zlib.decompress(payload[:-8]), int.from_bytes(payload[-8:], "little")
         values = unpack_numbers(raw)
         n = int(values[0])
@@ -266,21 +272,25 @@ def _repeats(docs: pa.Table, found: pa.Table, least_words: int, keep_text: bool)
             continue
         out["doc_id"].append(doc)
         out["repeats"].append(spans)
+        at.append(i)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("first_doc_id", pa.int64())]))
     table = {"doc_id": pa.array(out["doc_id"], pa.int64()), "repeats": pa.array(out["repeats"], kind)}
-    return pa.table(table | ({"text": pa.array(out["text"], pa.string())} if keep_text else {}))
+    table |= {"text": pa.array(out["text"], pa.string())} if keep_text else {}
+    return pa.table(table | ({"kept": docs.column("kept").take(pa.array(at, pa.int64()))} if "kept" in docs.column_names else {}))
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 20, keep_text: bool = False, block_bytes: int = 6_000_000) -> DataFrame:
-    """(doc_id, repeats[, text]): the spans (code points, end exclusive) whose words occur before, in a document with a
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 20, keep_text: bool = False, block_bytes: int = 6_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, repeats[, text][, kept]): the spans (code points, end exclusive) whose words occur before, in a document with a
     smaller id or earlier in the same one, and that document. Without keep_text only documents with repeats are given;
     with it all, and text lacks the spans. Rows with a null key are left out; a null text counts as empty; of rows that
-    share an id each counts as a document of its own, the first in the input being the original."""
+    share an id each counts as a document of its own, the first in the input being the original. kept is a struct of the row's columns named in `keep`."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    rows = rows.mapInArrow(lambda b: _blocks(b, n, block_bytes, keep_text, least_words), _SQL).repartition(n, "key")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *([F.struct(*keep).alias("kept")] if keep else []))
+    blocks, kind = StructType.fromDDL(_SQL), StructType.fromDDL("doc_id long, repeats array<struct<start:long,end:long,n_words:long,first_doc_id:long>>" + ", text string" * keep_text)
+    if keep:
+        blocks, kind = (x.add("kept", rows.schema["kept"].dataType) for x in (blocks, kind))
+    rows = rows.mapInArrow(lambda b: _blocks(b, n, block_bytes, keep_text, least_words), blocks).repartition(n, "key")
     found = rows.groupBy("key").applyInArrow(_match, "key long, payload binary")
-    kind = "doc_id long, repeats array<struct<start:long,end:long,n_words:long,first_doc_id:long>>" + ", text string" * keep_text
     return rows.groupBy("key").cogroup(found.groupBy("key")).applyInArrow(lambda x, y: _repeats(x, y, least_words, keep_text), kind)
 
 

@@ -570,6 +570,23 @@ def test_pipeline_of_odd_rows(spark, sf_dir):
     assert docs.count() == 0
 
 
+def test_pipeline_of_repeated_rows(spark, sf_dir):
+    import corpus_pipeline as C
+
+    a, b, c, d, e = (passage(80_000 + i, 60) for i in range(5))
+    # Id 1: the same row twice. Id 2: two texts. Id 3: one text of its own, and one with a passage of 2's second text.
+    rows = [(1, a), (1, a), (2, b), (2, c), (3, d), (3, f"{passage(90_000, 40)} {c} {passage(90_001, 40)}"), (4, None), (None, e), (5, d)]
+    docs = spark.createDataFrame([(i, t, f"l{k}", "src", None if t is None else len(t)) for k, (i, t) in enumerate(rows)], SCHEMA)
+    got = C.durable(C.near_dedup(spark, docs, sf_dir), "near").collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in got) == sorted((str(i), t or "") for i, t in [rows[0], *rows[2:8]])
+    got = C.durable(C.substring_dedup(spark, docs.coalesce(1), sf_dir), "substrings").collect()
+    text = {r.lang: r.text for r in got}
+    assert len(got) == len(rows) and all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+    assert {k: text[f"l{k}"] for k in (0, 2, 3, 4, 6, 7)} == {k: rows[k][1] for k in (0, 2, 3, 4, 6, 7)}
+    assert not text["l1"] and not text["l8"] and len(text["l5"]) < len(rows[5][1]) - 200
+    assert rows[5][1].startswith(text["l5"][:200]) and rows[5][1].endswith(text["l5"][-200:])
+
+
 def test_against_sql(spark, sf_dir):
     from harness import compare, connect
     from narrata.llm import registry
