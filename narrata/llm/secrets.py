@@ -115,7 +115,7 @@ def spans(text: str, least: float) -> list[tuple[str, int, int, float | None]]:
         base = list(found)
         for m in CONTEXT.finditer(text):
             a, b = m.span(2)
-            if not any(x < b and a < y for _, x, y, _ in base) and (price := guess_cost(m[2])) >= least:
+            if not any(x <= a and b <= y for _, x, y, _ in base) and (price := guess_cost(m[2])) >= least:
                 found.append(("guess", a, b, price))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
@@ -126,7 +126,7 @@ _TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 10.0) -> DataFrame:
     """(doc_id, spans) for each row of docs; a null text counts as empty and has no spans. `least` is the price
-    (log10 of guesses) from which a credential-context value counts; such values inside a base span aren't repeated."""
+    (log10 of guesses) from which a credential-context value counts; such values wholly inside a base span aren't repeated."""
 
     def run(batches):
         for batch in batches:
