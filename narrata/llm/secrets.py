@@ -17,12 +17,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Contexts of the added kind: a credential's name, then a sign or a verb, then the value.
+#: Contexts of the added kind: a credential's name, then a sign or a verb, perhaps a scheme's word, then the value.
 CONTEXT = re.compile(
-    r"""\b(pass ?(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|login|auth(?:orization)?|bearer|(?:api|access|private|client)[-_ ]?(?:key|secret))"""
-    r"""["']?\x20*(?:[:=]>?|\bis\b|\bwas\b)\x20*["']?([^\s"'`,;<>()\[\]{}]{6,})""",
+    r"""(?<![A-Za-z0-9])(pass ?(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|login|auth(?:orization)?|bearer|(?:api|access|private|client)[-_ ]?(?:key|secret))"""
+    r"""["']?\x20*(?:[:=]>?|\bis\b|\bwas\b)\x20*["']?(?:(?:bearer|basic|digest|token)\x20+["']?)?(?!(?:bearer|basic|digest|token)\x20)([^\s"'`,;<>()\[\]{}]{6,})""",
     re.I | re.A,
 )
+#: A rejected value may hold a further context, whose value is a tail of it. Longer ones are cheap only as they repeat themselves: their tails
+#: are not priced again, which keeps the work linear.
+TAILS = 256
 CONTEXT_HINTS = ("pass", "pwd", "pin", "secret", "token", "credential", "login", "auth", "bearer", "key")
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -113,10 +116,16 @@ def spans(text: str, least: float) -> list[tuple[str, int, int, float | None]]:
     found += [("hex", m.start(), m.end(), None) for m in HEX.finditer(text)]
     if any(h in low for h in CONTEXT_HINTS):
         base = list(found)
-        for m in CONTEXT.finditer(text):
-            a, b = m.span(2)
-            if not any(x <= a and b <= y for _, x, y, _ in base) and (price := guess_cost(m[2])) >= least:
+        at = known = 0
+        while m := CONTEXT.search(text, at):
+            (a, b), at = m.span(2), m.start(2)
+            if b <= known or any(x <= a and b <= y for _, x, y, _ in base):
+                continue
+            if (price := guess_cost(m[2])) >= least:
                 found.append(("guess", a, b, price))
+                at = b
+            elif b - a > TAILS:
+                known = b
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
