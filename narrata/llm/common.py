@@ -8,16 +8,17 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset (tests), a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    """The folder of spark.checkpoint.dir. Where it is unset a local master gets a temporary one; a cluster has none that
+    all executors see, so there it is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="narrata-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -28,7 +29,32 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_narrata_path"] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `durable` made and that nothing reads any more."""
+    for df in tables:
+        if path := df.__dict__.pop("_narrata_path", None):
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def ranges(df: DataFrame, each: int) -> int:
+    """How many ranges of hashes what comes of df is dealt to, so that a range doesn't grow with the input: one for each
+    `each` bytes that the optimizer expects of df, at least the number of shuffle partitions. Where it expects nothing
+    (an RDD), that number."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, -(-size // each)) if size < 1 << 58 else least
+
+
+def without_pushdown(keep: Column) -> Column:
+    """The condition, in a form that stays above an exchange, so that its readers share it."""
+    return F.when(F.rand() >= 0, keep)
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20, rows: int = 2000):
@@ -56,32 +82,28 @@ def bipartite_groups(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = new
 
 
-def star_components(edges: DataFrame, name: str = "components", rounds: int = 40) -> DataFrame:
+def star_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a long, b long): (node, component) for each node that has an edge;
     component is the smallest node of its component. Alternates large and small stars until nothing
-    changes; each round is written to the shared folder. Only two numbers a round reach the driver."""
+    changes, which takes rounds of the order of the logarithm of the nodes. Each round is written to the shared folder,
+    the one before it deleted. Each node's least neighbour is written too: joins then read plain exchanges on
+    both sides, so adaptive execution splits the fan of a hub. Only two numbers a round reach the driver. Null ends and
+    loops are no edges; no edges give no rows."""
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs, before = durable(pairs, name), None
-    for _ in range(rounds):
+    while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(
-            F.explode(
-                F.array(
-                    F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
-                    F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
-                )
-            ).alias("e")
-        )
-        pairs = durable(small.select("e.u", "e.v").where("u <> v").distinct(), name)
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        low = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), f"{name}_low")
+        large = durable(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}_large")
+        least = durable(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}_least")
+        two = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(least, "u").select(F.explode(two).alias("e"))
+        new = durable(small.select("e.u", "e.v").where("u <> v").distinct(), name)
+        discard(pairs, low, large, least)
+        pairs, now = new, tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before:
             break
-        before = tuple(now)
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        before = now
     leaves = pairs.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     roots = pairs.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return leaves.union(roots)

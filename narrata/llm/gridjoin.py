@@ -2,9 +2,10 @@
 
 Distinct unit vectors are sorted by their grid cells (as wide as the link distance) on the leading principal
 directions, which a bounded sample fits; they steer the search only and lose no link. The sequence is cut
-into parts; parts whose boxes are too far apart never meet. Within a pair of parts, intervals of the
-sequence are halved and skipped by their boxes until they are small enough to compare. A comparison gives
-counts and a spanning forest, never its pairs."""
+into parts of bounded size. Intervals of parts are joined recursively, as tables: pairs of intervals whose
+boxes are near are replaced by the pairs of their sixteenths, down to single parts. Within a pair of parts,
+intervals of the sequence are halved and skipped by their boxes until they are small enough to compare. A
+comparison gives counts and a spanning forest, never its pairs."""
 
 from __future__ import annotations
 
@@ -12,13 +13,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bipartite_groups, durable, star_components
-from .graph import unit, usable
+from .graph import dimension, matrix, own_kind, unit, usable
 
-SAMPLE, DIRECTIONS, CELLS, SMALL, MOST_PARTS = 4096, 16, 6, 256, 2000
+SAMPLE, DIRECTIONS, CELLS, SMALL, FAN = 4096, 16, 6, 256, 16
 
 
 def directions(vectors: np.ndarray, n: int) -> np.ndarray:
@@ -26,10 +27,6 @@ def directions(vectors: np.ndarray, n: int) -> np.ndarray:
     return np.linalg.svd(vectors - vectors.mean(0), full_matrices=False)[2][:n].T
 
 
-def _matrix(column) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
 class _Sets:
     def __init__(self, n: int):
         self.up = np.arange(n)
@@ -102,7 +99,7 @@ def join_parts(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight
 def _join_pair(table: pa.Table, basis: np.ndarray, least: float) -> pa.Table:
     table = table.sort_by([("side", "ascending"), ("place", "ascending")]).combine_chunks()
     side, rep, weight = (table.column(c).to_numpy() for c in ("side", "rep", "n"))
-    vectors = unit(_matrix(table.column("vector").combine_chunks()))
+    vectors = unit(matrix(table.column("vector").combine_chunks()))
     n = int((side == 0).sum())
     y = None if n == len(side) else vectors[n:]
     counts, roots = join_parts(vectors[:n], y, weight[:n], weight[n:], basis, least)
@@ -110,12 +107,43 @@ def _join_pair(table: pa.Table, basis: np.ndarray, least: float) -> pa.Table:
     return pa.table({"rep": pa.array(rep[on]), "links": pa.array(counts[on]), "root": pa.array(rep[roots[on]])})
 
 
+def _near(width: float) -> Column:
+    """Whether the boxes (low_a, high_a) and (low_b, high_b) come as near as `width`."""
+    gaps = F.zip_with(F.zip_with("low_a", "high_b", lambda x, y: x - y), F.zip_with("low_b", "high_a", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    return F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x) <= (width + 1e-9) ** 2
+
+
+def near_parts(boxes: DataFrame, width: float, size: int) -> DataFrame:
+    """Pairs (a, b), a <= b, of parts whose boxes (part, low, high) are near. Intervals of FAN, FAN ** 2, ... parts come first;
+    the pairs of each level are a table, whatever their number. `size`: components of a box."""
+    levels, count = [boxes], int(boxes.agg(F.max("part")).first()[0] or 0) + 1
+    while count > FAN:
+        low, high = (F.array(*(f(F.col(c)[i]) for i in range(size))).alias(c) for f, c in ((F.min, "low"), (F.max, "high")))
+        levels.append(durable(levels[-1].groupBy(F.floor(F.col("part") / FAN).alias("part")).agg(low, high), "boxes"))
+        count = -(-count // FAN)
+
+    def met(pairs: DataFrame, level: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(level.select(F.col("part").alias(side), F.col("low").alias(f"low_{side}"), F.col("high").alias(f"high_{side}")), side)
+        return pairs.where(_near(width)).select("a", "b")
+
+    pairs = met(levels[-1].select(F.col("part").alias("a"), F.explode(F.sequence("part", F.lit(count - 1).cast("long"))).alias("b")), levels[-1])
+    for level in levels[-2::-1]:
+        pairs = durable(pairs, "near_boxes")
+        for side in ("a", "b"):
+            pairs = pairs.withColumn(side, F.explode(F.sequence(F.col(side) * FAN, F.col(side) * FAN + FAN - 1)))
+        pairs = met(pairs.where("a <= b"), level)
+    return pairs
+
+
 def near_vectors(table: DataFrame, least: float = 0.9, key: str = "vec_id", vector: str = "embedding", part_rows: int = 4096) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row: links are pairs with cosine >= least. Vectors that are null,
-    zero or hold null or non-finite components link with nothing; all others must have the same length. Rows with
-    equal vectors link with each other. Ids should be distinct and not null."""
+    """(vec_id, n_links, component_id, kept) for each row: links are pairs with cosine >= least. Vectors that are null, zero,
+    hold null or non-finite components, or differ in length from the usable one with the smallest id link with
+    nothing. Rows with equal vectors link with each other. Ids should be distinct and not null. An empty table
+    gives no rows; other columns are ignored."""
     spark = table.sparkSession
-    good = F.when(usable(vector), F.col(vector).cast("array<float>"))
+    element, length = own_kind(table, vector), dimension(table, key, vector)
+    good = F.when(usable(vector) & (F.size(vector) == length), F.col(vector).cast(element))
     rows = table.select(F.col(key).cast("long").alias("vec_id"), good.alias("vector")).withColumn("hash", F.xxhash64("vector"))
     classes = rows.where("vector is not null").groupBy("hash", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     classes = durable(classes, "vector_classes")
@@ -128,7 +156,7 @@ def near_vectors(table: DataFrame, least: float = 0.9, key: str = "vec_id", vect
     def cells(batches):
         for batch in batches:
             if batch.num_rows:
-                at = np.floor(unit(_matrix(batch.column("vector"))) @ basis[:, :used] / width).astype(np.int32)
+                at = np.floor(unit(matrix(batch.column("vector"))) @ basis[:, :used] / width).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(at[:, i]) for i in range(used))], names=[*batch.schema.names, *(f"c{i}" for i in range(used))])
 
     order = [f"c{i}" for i in range(used)] + ["hash", "rep"]
@@ -142,48 +170,34 @@ def near_vectors(table: DataFrame, least: float = 0.9, key: str = "vec_id", vect
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("rep", "n", "vector")] + [pa.array(np.full(n, piece, np.int32)), pa.array(np.arange(done, done + n))], names=["rep", "n", "vector", "piece", "row"])
             done += n
 
-    kinds = "rep long, n long, vector array<float>"
+    kinds = f"rep long, n long, vector {element}"
     placed = classes.select("rep", "n", "vector", "hash").mapInArrow(cells, f"{kinds}, hash long, " + ", ".join(f"c{i} int" for i in range(used)))
     pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = placed.repartitionByRange(pieces, *order).sortWithinPartitions(*order)
     placed = durable(placed.mapInArrow(number, f"{kinds}, piece int, row long"), "vector_sequence")
-    sizes = sorted(tuple(r) for r in placed.groupBy("piece").count().collect())  # as many as shuffle partitions
     starts, total = [], 0
-    for piece, n in sizes:
+    for piece, n in sorted(tuple(r) for r in placed.groupBy("piece").count().collect()):  # as many as shuffle partitions
         starts.append((piece, total))
         total += n
-    per = max(part_rows, -(-total // MOST_PARTS))
     starts = F.broadcast(spark.createDataFrame(starts, "piece int, start long"))
     placed = placed.join(starts, "piece").select("rep", "n", "vector", (F.col("start") + F.col("row")).alias("place"))
-    placed = placed.withColumn("part", F.floor(F.col("place") / per).cast("int"))
+    placed = placed.withColumn("part", F.floor(F.col("place") / part_rows))
 
     def bounds(batches):
-        held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            parts = batch.column(0).to_numpy()
-            at = unit(_matrix(batch.column(1))) @ basis if len(parts) else np.zeros((0, basis.shape[1]))
-            for p in np.unique(parts).tolist():
-                own = at[parts == p]
-                old = held.get(p)
-                low, high = own.min(0), own.max(0)
-                held[p] = [low, high] if old is None else [np.minimum(old[0], low), np.maximum(old[1], high)]
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v[0].tolist() for v in held.values()], pa.list_(pa.float64())), pa.array([v[1].tolist() for v in held.values()], pa.list_(pa.float64()))], names=["part", "low", "high"])
+            if batch.num_rows:
+                parts, at = batch.column(0).to_numpy(), unit(matrix(batch.column(1))) @ basis
+                own = [(p, at[parts == p]) for p in np.unique(parts).tolist()]
+                box = [pa.array([f(x, 0).tolist() for _, x in own], pa.list_(pa.float64())) for f in (np.min, np.max)]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in own], pa.int64()), *box], names=["part", "low", "high"])
 
     spread = range(basis.shape[1])
-    boxes = placed.select("part", "vector").mapInArrow(bounds, "part int, low array<double>, high array<double>")
-    boxes = boxes.groupBy("part").agg(F.array(*(F.min(F.col("low")[i]) for i in spread)), F.array(*(F.max(F.col("high")[i]) for i in spread)))
-    boxes = sorted(tuple(r) for r in boxes.collect())  # at most MOST_PARTS
-    ids, low, high = [b[0] for b in boxes], np.array([b[1] for b in boxes]), np.array([b[2] for b in boxes])
-    meet = []
-    for i in range(len(ids)):
-        gap = np.maximum(0, np.maximum(low[i] - high[i:], low[i:] - high[i]))
-        for j in np.flatnonzero((gap * gap).sum(1) <= (width + 1e-9) ** 2) + i:
-            meet.append((ids[i], len(meet), 0))
-            if j > i:
-                meet.append((ids[j], meet[-1][1], 1))
-    meet = F.broadcast(spark.createDataFrame(meet, "part int, pair long, side int"))
-    dealt = placed.join(meet, "part").select("pair", "side", "place", "rep", "n", "vector")
-    found = dealt.groupBy("pair").applyInArrow(lambda t: _join_pair(t, basis, least), "rep long, links long, root long")
+    boxes = placed.select("part", "vector").mapInArrow(bounds, "part long, low array<double>, high array<double>")
+    boxes = boxes.groupBy("part").agg(F.array(*(F.min(F.col("low")[i]) for i in spread)).alias("low"), F.array(*(F.max(F.col("high")[i]) for i in spread)).alias("high"))
+    meet = durable(near_parts(durable(boxes, "boxes"), width, basis.shape[1]), "near_parts")
+    sides = meet.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("part")).union(meet.where("a < b").select("a", "b", F.lit(1), "b"))
+    dealt = placed.join(sides, "part").select("a", "b", "side", "place", "rep", "n", "vector")
+    found = dealt.groupBy("a", "b").applyInArrow(lambda t: _join_pair(t, basis, least), "rep long, links long, root long")
     found = durable(found, "vector_links")
     groups = star_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -195,5 +209,6 @@ def near_vectors(table: DataFrame, least: float = 0.9, key: str = "vec_id", vect
 
 
 def op4_grid_order_join(spark, sf_dir: str) -> DataFrame:
-    """All vectors with cosine 0.9 or more, whatever their labels."""
+    """All vectors with cosine 0.9 or more, whatever their labels. Null, zero and unusable vectors give rows without links;
+    equal vectors link; a component goes by its smallest id; an empty table gives no rows."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -116,28 +116,26 @@ def places(found: list[tuple[int, list[int]]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def pack(table: DataFrame, limit: int = 1024, spread: int = 64) -> DataFrame:
+def pack(table: DataFrame, limit: int = 1024, spread: int | None = None) -> DataFrame:
     """table (pieces, with a column length and doc_id, start to order them) with sequence_id and offset.
 
-    Ranks within a length are counted over `spread` buckets, so a length that a third of the pieces have
-    doesn't land in one task; the driver sees spread x limit counts at most, whatever the input."""
+    Ranks within a length are counted over `spread` buckets (as many as shuffle partitions, 64 at least), so a length
+    that a third of the pieces have doesn't land in one task. The buckets' counts stay a table; the driver sees the
+    histogram, `limit` numbers at most, whatever the input. Equal pieces get places of their own, in any order among
+    them; an empty table gives no rows; other columns are carried along."""
+    spread = spread or max(64, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salted = table.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(spread)).cast("int"))
-    counts = sorted(tuple(r) for r in salted.groupBy("length", "__salt").agg(F.count("*").alias("n")).collect())
-    histogram: dict[int, int] = {}
-    first = {}
-    for length, salt, n in counts:
-        first[length, salt] = histogram.get(length, 0)
-        histogram[length] = first[length, salt] + n
-    where = places(patterns(histogram, limit))
-    ranked = salted.withColumn("__rank", F.row_number().over(W.partitionBy("length", "__salt").orderBy("doc_id", "start")) - 1)
+    counts = durable(salted.groupBy("length", "__salt").agg(F.count("*").alias("__n")), "length_counts")  # limit x spread rows at most
+    where = places(patterns(dict(tuple(r) for r in counts.groupBy("length").agg(F.sum("__n")).collect()), limit))
+    before = F.sum("__n").over(W.partitionBy("length").orderBy("__salt").rowsBetween(W.unboundedPreceding, -1))
+    first = counts.select("length", "__salt", F.coalesce(before, F.lit(0)).alias("__first"))
+    ranked = salted.withColumn("__row", F.row_number().over(W.partitionBy("length", "__salt").orderBy("doc_id", "start")) - 1)
+    ranked = ranked.join(first, ["length", "__salt"]).select(*table.columns, (F.col("__first") + F.col("__row")).alias("__rank"))
     names = [*table.columns]
 
     def run(batches):
         for batch in batches:
-            length = batch.column("length").to_numpy(zero_copy_only=False)
-            rank = batch.column("__rank").to_numpy(zero_copy_only=False) + np.array(
-                [first[k] for k in zip(length.tolist(), batch.column("__salt").to_pylist(), strict=True)], np.int64
-            )
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "__rank"))
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for k in np.unique(length):
                 own, plan = length == k, where[int(k)]
@@ -151,7 +149,9 @@ def pack(table: DataFrame, limit: int = 1024, spread: int = 64) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, limit: int = 1024) -> DataFrame:
-    """Pieces of all documents with their places. Pieces (without ids) are written once, as they are read twice."""
+    """Pieces of all documents with their places. Pieces (without ids) are written once, as they are read twice. A null text
+    counts as empty, and an empty one is a piece of its end alone; repeated rows and null ids give pieces of their own;
+    an empty table gives no rows."""
     import public_tokenizers as P
 
     found = pieces(docs, P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, limit)
@@ -159,5 +159,6 @@ def pack_documents(docs: DataFrame, limit: int = 1024) -> DataFrame:
 
 
 def op3_histogram_packing(spark, sf_dir: str) -> DataFrame:
-    """All documents in sequences of 1024 tokens."""
+    """All documents in sequences of 1024 tokens. Null and empty texts are one token; repeated rows are packed each; an empty
+    table gives no rows."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -29,30 +29,27 @@ def shard(df: DataFrame, key: str, weights: Sequence[float], name: str = "shard"
     return df.withColumn(name, rendezvous(F.col(key), weights))
 
 
-def slots(df: DataFrame, key: str, order: Sequence[str], name: str = "slot", spread: int = 64) -> DataFrame:
+def slots(df: DataFrame, key: str, order: Sequence[str], name: str = "slot", spread: int | None = None) -> DataFrame:
     """df with gapless positions from 0 within each value of `key`.
 
-    A shard is dealt over `spread` buckets of a hash of the first column of `order`, so no shard lands in one task; a bucket's
-    start is the count of the buckets before it (shards x spread numbers, broadcast). Repeated rows get
-    slots of their own."""
+    A shard is dealt over `spread` buckets (as many as shuffle partitions, 64 at least) of a hash of the first column of
+    `order`, so no shard lands in one task; a bucket's start is the count of the buckets before it, joined by the
+    keys that the rows are dealt by already. Repeated rows get slots of their own; an empty table gives no rows."""
+    spread = spread or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bucketed = df.withColumn("__bucket", F.pmod(F.xxhash64(F.lit("slot"), F.col(order[0])), F.lit(spread)).cast("int"))
     sizes = bucketed.groupBy(key, "__bucket").agg(F.count("*").alias("__n"))
-    starts = sizes.withColumn(
-        "__start",
-        F.coalesce(F.sum("__n").over(W.partitionBy(key).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
-    ).select(F.col(key).alias("__key"), F.col("__bucket").alias("__at"), "__start")
-    within = F.row_number().over(W.partitionBy(key, "__bucket").orderBy(*order)) - 1
-    placed = bucketed.withColumn("__row", within)
-    joined = placed.join(
-        F.broadcast(starts), (placed[key] == starts["__key"]) & (placed["__bucket"] == starts["__at"])
-    )
+    before = F.sum("__n").over(W.partitionBy(key).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.select(F.col(key).alias("__key"), F.col("__bucket").alias("__at"), F.coalesce(before, F.lit(0)).alias("__start"))
+    placed = bucketed.withColumn("__row", F.row_number().over(W.partitionBy(key, "__bucket").orderBy(*order)) - 1)
+    joined = placed.join(starts, placed[key].eqNullSafe(starts["__key"]) & (placed["__bucket"] == starts["__at"]))
     return joined.withColumn(name, (F.col("__start") + F.col("__row")).cast("long")).drop(
-        "__bucket", "__key", "__at", "__start", "__row"
+        "__bucket", "__key", "__at", "__start", "__row", "__n"
     )
 
 
 def op9_rendezvous_shards(spark, sf_dir: str, shards: int = 8) -> DataFrame:
-    """All documents in equal-weight shards by doc_id. A null text has size 1 and the checksum of no bytes."""
+    """All documents in equal-weight shards by doc_id. A null text has size 1 and the checksum of no bytes; null ids share a
+    shard; rows that share an id share its shard, each with a slot of its own; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
