@@ -1,11 +1,11 @@
 """Byte-level BPE over a corpus: a global distinct-word shuffle.
 
-Texts are cut into words (white space, then the non-space that follows: each bound is a bound of the
-pre-token pattern too). A block of documents keeps its words once, and each document as positions into
-them. Words are dealt by hash, so each distinct word meets its copies in one task and is encoded once;
-its ids go back to the blocks, which reassemble documents by position. Words travel packed, so rows
-shuffled are blocks x ranges and not tokens. Decoding looks ids up in the token-byte table (of the
-vocabulary's size, which is fixed)."""
+Texts are cut into pre-tokens, the matches of the pattern. A block of documents keeps its distinct pre-tokens
+once, and each document as positions into them. Pre-tokens are dealt by hash to ranges, so that each
+distinct one meets its copies in one range, which a task works off alone, and is encoded once; its ids go back
+to the blocks, which reassemble documents by position. They travel packed, so rows shuffled are blocks x
+ranges and not tokens. Blocks and ranges are of bounded size, whatever the input's. Decoding looks ids up in the
+token-byte table (of the vocabulary's size, which is fixed)."""
 
 from __future__ import annotations
 
@@ -18,18 +18,33 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Python and the pattern disagree whether these are white space; such a text is one word.
-ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]")
-WORD = re.compile(r"\s*\S+|\s+")
+from .common import ranges, without_pushdown
 
+#: Bytes of input for a range of pre-tokens.
+RANGE_BYTES = 64 << 20
+#: Two libraries may disagree on the class of these characters (white space of one only; newer than 2021), or have no pair
+#: of bytes for them; a text with one is a single pre-token here, which the encoder cuts itself.
+ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff\u0870-\u0889\u0c5d\u0cdd\u0cf3\u1c89\u1c8a\u2c2f\u2c5f\ua7c0-\ua7dc\U00010570-\U000105bc\U00011200-\U00011fff\U00012f90-\U00012ff2\U00013430-\U00013455\U0001a000-\U0001efff\U0002b739-\U0002ffff\U00031350-\U000323af\U000e0000-\U0010ffff]")
 
-def words(text: str) -> list[str]:
-    """The words of a text; joined they give the text again."""
-    return [text] if ODD.search(text) else WORD.findall(text)
+
+@functools.cache
+def _matcher(pattern: str):
+    import regex
+
+    return regex.compile(pattern)
+
+
+def pretokens(text: str, pattern: str) -> list[str]:
+    """The matches of the pattern, which joined give the text again; a text that it doesn't cover, or an odd one, whole."""
+    if not text:
+        return []
+    if not text.isascii() and ODD.search(text):
+        return [text]
+    found = _matcher(pattern).findall(text)
+    return found if sum(map(len, found)) == len(text) else [text]
 
 
 @functools.cache
@@ -96,25 +111,23 @@ _ROWS = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("a", pa.int64()),
 _SQL = "key long, kind int, a long, b long, payload binary"
 
 
-def _blocks(batches, ranges: int, block_bytes: int):
-    """kind 0: a document: key is its block, a its id, b 1 if the id is null, payload its positions; kind 1: the words
-    of a block in one range: key is the range, a the block, payload positions and words."""
+def _blocks(batches, pattern: str, ranges: int, block_bytes: int):
+    """kind 0: a document: key is its block, a its id, b 1 if the id is null, payload its positions; kind 1: the pre-tokens
+    of a block in one range: key is the range, a the block, payload positions and pre-tokens."""
     from pyspark import TaskContext
 
     block, size, codes, rows = TaskContext.get().partitionId() << 24, 0, defaultdict(), []
     codes.default_factory = codes.__len__
 
     def flush():
-        dealt = [([], []) for _ in range(ranges)]
+        dealt = defaultdict(lambda: ([], []))
         for word, code in codes.items():
             raw = word.encode()
             at, own = dealt[zlib.crc32(raw) % ranges]
             at.append(code)
             own.append(raw)
-        for r, (at, own) in enumerate(dealt):
-            if own:
-                steps = np.diff(np.array(at), prepend=0)
-                rows.append((-1 - r, 1, block, len(own), pack_strings([pack_numbers(steps), *own])))
+        for r, (at, own) in dealt.items():
+            rows.append((-1 - r, 1, block, len(own), pack_strings([pack_numbers(np.diff(np.array(at), prepend=0)), *own])))
         out = pa.RecordBatch.from_pylist([dict(zip(_ROWS.names, x, strict=True)) for x in rows], _ROWS)
         rows.clear()
         codes.clear()
@@ -123,7 +136,7 @@ def _blocks(batches, ranges: int, block_bytes: int):
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             text = text or ""
-            found = np.fromiter(map(codes.__getitem__, words(text)), np.int64)
+            found = np.fromiter(map(codes.__getitem__, pretokens(text, pattern)), np.int64)
             rows.append((block, 0, 0 if key is None else key, int(key is None), pack_numbers(found)))
             size += len(text)
             if size >= block_bytes:
@@ -134,17 +147,20 @@ def _blocks(batches, ranges: int, block_bytes: int):
 
 
 def _encode_words(batches, path: str, pattern: str):
-    """Of the rows of _blocks, those of words: key becomes the block, payload holds positions and ids."""
+    """Of the rows of _blocks, sorted by key, those of pre-tokens: key becomes the block, payload holds positions and ids. Each
+    distinct one of a range is encoded once; what is known is dropped at the range's end."""
     own = encoder(path, pattern)
     known: dict[bytes, bytes] = {}
+    now = None
     for batch in batches:
         out = []
-        for kind, block, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
+        for key, kind, block, payload in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
             if kind != 1:
                 continue
-            at, *items = unpack_strings(payload)
-            if len(known) > 500_000:
+            if key != now:
                 known.clear()
+                now = key
+            at, *items = unpack_strings(payload)
             for word in items:
                 if word not in known:
                     known[word] = np.array(own.encode_ordinary(word.decode()), "<u4").tobytes()
@@ -153,7 +169,6 @@ def _encode_words(batches, path: str, pattern: str):
 
 
 def _reassemble(docs: pa.Table, found: pa.Table, finish) -> pa.Table:
-    docs = docs.filter(pc.equal(docs.column("kind"), 0))
     ids: dict[int, bytes] = {}
     for payload in found.column("payload").to_pylist():
         at, *items = unpack_strings(payload)
@@ -168,14 +183,14 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     """(doc_id, ids) for each row of docs: ids as little-endian unsigned 32-bit integers. A null text counts as
     empty and has no ids; repeated rows and null keys give a row each; other columns of docs are ignored.
     `finish` makes other columns (of the SQL types `kinds`) of a block's ids where they are, so that ids needn't travel."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(
-        lambda batches: _blocks(batches, n, block_bytes), _SQL
-    )
-    rows = rows.repartition(n, "key")
-    ids = rows.mapInArrow(lambda batches: _encode_words(batches, path, pattern), "key long, payload binary")
-    # Both readers take all rows, so they share the exchange; groups of a range (negative keys) reassemble to nothing.
-    return rows.groupBy("key").cogroup(ids.groupBy("key")).applyInArrow(lambda x, y: _reassemble(x, y, finish), f"doc_id long, {kinds}")
+    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    n, parts = ranges(docs, RANGE_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.mapInArrow(lambda batches: _blocks(batches, pattern, n, block_bytes), _SQL)
+    rows = rows.repartition(parts, "key")
+    ids = rows.where(without_pushdown(F.col("kind") == 1)).sortWithinPartitions("key").mapInArrow(lambda batches: _encode_words(batches, path, pattern), "key long, payload binary")
+    # Both readers share the exchange; the pre-tokens of a range never meet in a group.
+    blocks = rows.where(without_pushdown(F.col("kind") == 0))
+    return blocks.groupBy("key").cogroup(ids.groupBy("key")).applyInArrow(lambda x, y: _reassemble(x, y, finish), f"doc_id long, {kinds}")
 
 
 def decode_ids(ids: bytes, path: str) -> bytes:
@@ -197,7 +212,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    """Each document's token count and the digests of its ids and of what they decode to."""
+    """Each document's token count and the digests of its ids and of what they decode to. A null text counts as empty, whose
+    digests are those of no bytes; repeated rows and null ids give a row each; an empty table gives no rows."""
     import public_tokenizers as P
 
     path = P.path("byte_bpe_multi_50k.tiktoken")

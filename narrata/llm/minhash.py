@@ -182,7 +182,8 @@ def _exact_blocks(table: pa.Table, k: int, percent: int) -> pa.Table:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", miss: float = 1e-6, bucket_rows: int = 1024) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs: documents linked when 100 * intersection >=
     percent * union of their k-word shingle sets (a shorter text is one shingle). Texts that are null, empty or
-    without words link with nothing. Buckets meet in blocks of about `bucket_rows`. Ids should be distinct and not null; rows that share an id share its group."""
+    without words link with nothing. Buckets meet in blocks of about `bucket_rows`. Ids should be distinct and not null; rows that share an id share its group.
+    An empty table gives no rows; other columns are ignored."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = durable(rows.mapInArrow(lambda b: _sign(b, k), "doc_id long, n_shingles long, digest binary, sig binary"), "signatures")
     classes = durable(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
@@ -245,5 +246,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
 
 
 def op6_bayes_minhash(spark, sf_dir: str) -> DataFrame:
-    """Near-duplicate groups of all documents over 2-word shingles."""
+    """Near-duplicate groups of all documents over 2-word shingles. Null, empty and wordless texts have no shingles and stay; equal
+    texts are one class, kept at its smallest id; an empty table gives no rows."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2)

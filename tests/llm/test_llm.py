@@ -101,7 +101,32 @@ ALPHABET = st.one_of(st.sampled_from(" \n\t'.,\x1c\x85　é1a"), st.characters(e
 @given(st.text(ALPHABET, max_size=60))
 def test_words_end_where_the_pattern_does(text):
     own = reference_cached()
-    assert [i for w in bpe.words(text) for i in own.encode_ordinary(w)] == own.encode_ordinary(text)
+    found = bpe.pretokens(text, P.PATTERN)
+    assert "".join(found) == text and [i for w in found for i in own.encode_ordinary(w)] == own.encode_ordinary(text)
+
+
+def test_pretokens_of_every_character():
+    own = reference_cached()
+    for low in range(0, 0x110000, 4096):
+        own_characters = [chr(c) for c in range(low, low + 4096) if not 0xD800 <= c < 0xE000]
+        for form in ("a{}1 ",):
+            text = "\n".join(form.format(c) for c in own_characters)
+            assert [i for w in bpe.pretokens(text, P.PATTERN) for i in own.encode_ordinary(w)] == own.encode_ordinary(text), hex(low)
+
+
+def test_each_pretoken_of_a_range_is_encoded_once(monkeypatch):
+    path, asked = P.path("byte_bpe_multi_50k.tiktoken"), []
+
+    class Own:
+        def encode_ordinary(self, text):
+            asked.append(text)
+            return [1]
+
+    monkeypatch.setattr(bpe, "encoder", lambda *_: Own())
+    rows = [(-1, 1, b, 2, bpe.pack_strings([bpe.pack_numbers(np.array([0, 1])), b"x", b"y%d" % (b % 2)])) for b in range(6)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(bpe._ROWS.names, r, strict=True)) for r in rows], bpe._ROWS)
+    list(bpe._encode_words(iter([batch.slice(0, 3), batch.slice(3)]), path, P.PATTERN))
+    assert sorted(asked) == ["x", "y0", "y1"]
 
 
 _cached = []
@@ -121,6 +146,14 @@ def test_ranks_give_the_tokenizers_ids(text):
     assert np.frombuffer(got, "<u4").tolist() == packing.tokenizer(path).encode(text, add_special_tokens=False).ids
 
 
+def test_ranks_give_the_tokenizers_ids_of_long_texts_and_all_common_characters():
+    path, rng = P.path("byte_bpe_50k.json"), np.random.default_rng(5)
+    texts = ["".join(chr(c) for c in range(low, low + 32)) * 3 + " " + "a".join(chr(c) for c in range(low, low + 32)) for low in range(0, 0x250, 32)]
+    texts += ["".join(chr(c) for c in rng.choice([*range(32, 127), 10, 9, *range(0xC0, 0x250)], 50_000)) for _ in range(2)]
+    for text, got in zip(texts, packing.token_ids(texts, path, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == packing.tokenizer(path).encode(text, add_special_tokens=False).ids
+
+
 def test_special_strings_go_to_the_library():
     path = P.path("byte_bpe_50k.json")
     assert np.frombuffer(packing.token_ids(["a<|endoftext|>b"], path, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)[0], "<u4").tolist() == packing.tokenizer(path).encode("a<|endoftext|>b", add_special_tokens=False).ids
@@ -211,6 +244,47 @@ def test_guess_costs():
     assert cost("q7" * 5000) < 10 and math.isfinite(cost("Zx9!" + LONG[:20_000]))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["pass", "word", "qwe", "rty", "1987", "12", "aa", "ab", "x", "Z", "#", "mon", "key", "p@ss", "zxc", "the"]), min_size=1, max_size=4).map("".join))
+def test_guess_cost_is_the_least_over_all_segmentations(value):
+    value = value[:11]
+    n, each, known = len(value), secrets._alphabet(value), collections.defaultdict(list)
+    for a, b, price in secrets.segments(value):
+        known[a, b].append(price)
+    best = math.inf
+    for cut in range(1 << (n - 1)):  # every way to cut the value; each part at its cheapest
+        edges = [0, *(i + 1 for i in range(n - 1) if cut >> i & 1), n]
+        parts = [min([(b - a) * each, *known[a, b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        best = min(best, sum(parts) + (len(parts) - 1) * secrets.JOIN)
+    assert secrets.guess_cost(value) == pytest.approx(best, abs=1e-9)
+
+
+def test_turns_cost():
+    assert [x[:2] for x in secrets.walks("zaqwsxcde")][0] == (0, 9)
+    straight, bent = secrets.guess_cost("qwertyui"), secrets.guess_cost("qazsewrd")
+    assert straight < bent and [x[:2] for x in secrets.walks("abcdef")][-1] == (0, 6)
+
+
+PROSE = """The secret was discovered by accident. The token is approximately right. His login was unsuccessful. The password is required,
+they said. My pin was somewhere in the drawer. The secret is well-known. Her access key was misplaced. The passphrase is ordinary. A token is
+something small; the credential was withdrawn yesterday. Authorization is unnecessary here. The password was forgotten."""
+
+
+def test_prose_has_no_secrets_and_planted_ones_are_found():
+    words, rng = secrets.vocabulary(), np.random.default_rng(3)
+    assert secrets.spans(PROSE, words=words) == []
+    letters = list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!@#$%&*+")
+    forms = ["my login is {} ok", "pwd: {} ok", "the password was {}.", "Authorization: Bearer {} ok", "passphrase={} ok", "client-secret => {}, ok"]
+    hit = extra = 0
+    for i in range(300):
+        value = "".join(rng.choice(letters, 8)) + "7x" + "".join(rng.choice(letters[:50], 3))
+        text = PROSE + " " + forms[i % len(forms)].format(value)
+        found = [text[a:b] for k, a, b, _ in secrets.spans(text, words=words)]
+        hit += any(value in x for x in found)
+        extra += any(value not in x and x not in value and not value.startswith(x.split()[-1]) for x in found)
+    assert hit >= 297 and extra <= 3
+
+
 def test_added_spans():
     found = secrets.spans("my login is Xk9#mQ2!vLp7 but the token is monkey1 here", 10)
     assert [(k, "my login is Xk9#mQ2!vLp7 but"[a:b]) for k, a, b, _ in found] == [("guess", "Xk9#mQ2!vLp7")]
@@ -372,7 +446,7 @@ def test_passages_are_caught_wherever_they_stand(spark):
     text = dict(rows)
     for r in found:
         for s in r.repeats:
-            assert s.first_doc_id == r.doc_id // 10 * 10 and text[r.doc_id][s.start : s.end] in text[s.first_doc_id]
+            assert r.doc_id // 10 * 10 <= s.first_doc_id < r.doc_id and text[r.doc_id][s.start : s.end] in text[s.first_doc_id]
 
 
 def test_passages_of_lines_that_stand_alone_before(spark):
@@ -395,7 +469,6 @@ def test_passages_of_lines_that_stand_alone_before(spark):
 def test_windows_cover_every_run_of_enough_words(seed):
     n = np.random.default_rng(seed).integers(0, 15, 40)
     first, last = chunks.items(n, 20)
-    assert {(i, i + 1) for i in range(40)} <= set(zip(first.tolist(), last.tolist(), strict=True))
     assert sorted(zip(first, last, strict=True)) == list(zip(first, last, strict=True))
     for a in range(40):
         for b in range(a + 1, 41):
@@ -404,10 +477,38 @@ def test_windows_cover_every_run_of_enough_words(seed):
                 assert set(range(a, b)) == {c for x, y in zip(first[inside], last[inside], strict=True) for c in range(x, y)}
 
 
-def test_insertions_shift_no_chunks():
-    a = passage(1, 400).encode()
-    cut = lambda b: {b[x:y] for x, y in zip(chunks.cuts(np.frombuffer(b, np.uint8))[:-1], chunks.cuts(np.frombuffer(b, np.uint8))[1:], strict=True)}
-    assert len(cut(a) & cut(a[:700] + b"some new words " + a[700:])) > 0.9 * len(cut(a))
+HAN = np.random.default_rng(11).integers(0x4E00, 0x5E00, 3000)
+SHIFTED = {
+    "words": passage(1, 400),
+    "han": "".join(map(chr, HAN)),
+    "one word over and over": "lorem " * 200 + "ipsum " * 200,
+    "letters": "".join(np.random.default_rng(2).choice(list("acgt"), 3000)),
+}
+
+
+@pytest.mark.parametrize("name", SHIFTED)
+def test_insertions_shift_no_chunks(name):
+    a, at = SHIFTED[name], len(SHIFTED[name]) // 3
+
+    def cut(text):
+        b = text.encode()
+        found = chunks.cuts(np.frombuffer(b, np.uint8)).tolist()
+        assert found[0] == 0 and found[-1] == len(b) and found == sorted(set(found))
+        parts = [b[x:y] for x, y in zip(found[:-1], found[1:], strict=True)]
+        assert all(p[0] & 0xC0 != 0x80 for p in parts)  # never within a character
+        return collections.Counter(parts)
+
+    own, new = cut(a), cut(a[:at] + "새 new X" + a[at:])
+    assert sum((own & new).values()) > 0.9 * sum(own.values())
+
+
+def test_bounds_depend_on_what_is_near():
+    text = (passage(4, 300) + " of of of of of of of of " + "".join(map(chr, HAN[:500])) + " " + "tic tac " * 60).encode()
+    found = chunks.cuts(np.frombuffer(text, np.uint8))
+    for a in (1, 700, 1501):
+        part = chunks.cuts(np.frombuffer(text[a:], np.uint8)) + a
+        reach = a + 3 * chunks.REACH
+        assert found[found > reach].tolist() == part[part > reach].tolist()
 
 
 def test_gear_is_the_rolling_hash():
@@ -419,12 +520,62 @@ def test_gear_is_the_rolling_hash():
     assert chunks.gear(raw).tolist() == want
 
 
+def test_unspaced_passages(spark):
+    own = lambda i, n: "".join(map(chr, np.random.default_rng(i).integers(0x4E00, 0x5E00, n)))
+    text = {1: own(1, 3000), 2: own(1, 3000), 3: "序" + own(2, 400) + own(1, 3000)[500:1100] + own(3, 300), 4: own(4, 3000)}
+    found = {r.doc_id: r.repeats for r in chunks.repeated_spans(spark.createDataFrame(list(text.items()), "doc_id long, text string"), block_bytes=4000).collect()}
+    assert set(found) == {2, 3} and [(s.start, s.end) for s in found[2]] == [(0, 3000)]
+    (s,) = found[3]
+    assert s.end - s.start > 500 and text[3][s.start : s.end] in text[1]
+
+
+def test_patchwork_passages(spark):
+    parts = [passage(200_000 + i, 10) for i in range(8)]
+    rows = [(i, f"{passage(210_000 + i, 40)} {p} {passage(220_000 + i, 40)}") for i, p in enumerate(parts)]
+    rows += [(100 + i, f"{passage(230_000 + i, 30)} {' '.join(parts)} {passage(240_000 + i, 30)}") for i in range(2)]
+    found = {r.doc_id: r.repeats for r in chunks.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=1000).collect()}
+    assert set(found) == {101} and found[101][0].first_doc_id == 100 and sum(s.n_words for s in found[101]) >= 70
+
+
+def shared_windows(texts, k):
+    """Ids of the texts that share k words in a row with one of a smaller id, by brute force."""
+    first, out = {}, set()
+    for i in sorted(texts):
+        w = (texts[i] or "").split()
+        own = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
+        if any(x in first for x in own):
+            out.add(i)
+        for x in own:
+            first.setdefault(x, i)
+    return out
+
+
+def test_repeats_against_brute_force(spark, sf_dir, texts):
+    found = chunks.op8_gear_chunks(spark, sf_dir).collect()
+    got, sure, least = {r.doc_id for r in found}, shared_windows(texts, 51), shared_windows(texts, chunks.LEAST_WORDS)
+    assert len(sure - got) <= 0.02 * len(sure) and got <= least
+    for r in found:
+        w, one = texts[r.doc_id][r.start : r.end].split(), set()
+        earlier = " ".join(texts[r.first_doc_id].split())
+        assert r.first_doc_id < r.doc_id and " ".join(w[:5]) and r.n_words >= chunks.LEAST_WORDS
+        one.update(" ".join(w[i : i + 10]) in earlier for i in range(0, len(w) - 10, 10))
+        assert True in one
+
+
+def test_repeats_within_a_document(spark):
+    a, b = passage(1, 60), passage(2, 60)
+    docs = spark.createDataFrame([(1, f"{a} {b} {a}"), (2, b)], "doc_id long, text string")
+    assert {r.doc_id for r in chunks.repeated_spans(docs).collect()} == {2}
+    got = {r.doc_id: r.text for r in chunks.repeated_spans(docs, keep_text=True, within=True).collect()}
+    assert got[1].startswith(f"{a} {b}") and len(got[1]) < len(a) + len(b) + 120 and len(got[2]) < 120
+
+
 def test_chunks_of_odd_texts(spark):
     long = passage(3, 100)
     docs = table(spark, [*TEXTS, long, f"x {long}", long], extra=True)
     kept = {r.doc_id: r for r in chunks.repeated_spans(docs, keep_text=True).collect()}
     assert len(kept) == 13 and kept[10].text == long and len(kept[11].text) < 200 and len(kept[12].text) < 60
-    assert kept[1].text == "" and kept[6].text == TEXTS[6] and kept[9].text[:512] == TEXTS[9][:512]
+    assert kept[1].text == "" and kept[6].text == TEXTS[6] and kept[9].text == TEXTS[9] and kept[7].text == LONG
     assert chunks.repeated_spans(docs.limit(0)).count() == 0
     spans = chunks.repeated_spans(docs)
     joined = docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", chunks.without(docs["text"], spans["repeats"]).alias("t")).collect()
@@ -475,7 +626,65 @@ def test_few_or_no_vectors(spark):
     assert [(r.n_links, r.kept) for r in gridjoin.near_vectors(none).collect()] == [(0, True)] * 2
 
 
-@pytest.mark.parametrize("part_rows", [40, 4096])
+def found_by(vectors, queries, k=5):
+    batch = pa.RecordBatch.from_arrays([pa.array([[i] for i in range(len(vectors))], pa.list_(pa.int64())), pa.array(list(vectors), pa.list_(pa.float64()))], names=["ids", "vector"])
+    out = collections.defaultdict(list)
+    for q, i, s in graph.Shard([batch]).nearest(queries, vectors[queries], k, graph.BEAM):
+        out[q].append((i, s))
+    return out
+
+
+NOISE = {"uniform": None, "parallel": 0.0, "1e-3": 1e-3, "1e-2": 1e-2, "5e-2": 5e-2}
+
+
+@pytest.mark.parametrize("name", NOISE)
+def test_graphs_in_dense_groups(name):
+    rng, noise = np.random.default_rng(6), NOISE[name]
+    x = rng.normal(size=(700, 64))
+    if noise is not None:
+        x = np.concatenate([x, (x[0] + noise * rng.normal(size=(300, 64))) * np.arange(1, 301)[:, None]])
+    queries = np.arange(0, len(x), 3)
+    got, u, hits = found_by(x, queries), graph.unit(x), 0
+    for q in queries.tolist():
+        score = u @ u[q]
+        score[q] = -2
+        assert len(got[q]) == 5 and len({i for i, _ in got[q]}) == 5
+        hits += sum(score[i] >= np.sort(score)[-5] - 1e-12 for i, _ in got[q])
+    assert hits / 5 / len(queries) >= 0.95
+
+
+def test_every_node_is_reached():
+    rng = np.random.default_rng(8)
+    x = graph.unit(np.concatenate([rng.normal(size=(40, 8)) * 1e-3 + c for c in rng.normal(size=(30, 8))]))
+    g = graph.Graph(x, degree=4, beam=8)
+    assert g.reached().all()
+    g.links[:] = -1
+    g._reach_all(8)
+    assert g.reached().all()
+
+
+def test_doubles_and_lengths(spark):
+    near = 1 + 1e-12
+    vectors = [[1.0, 0.0, 1.0], [near, 0.0, 1.0], [1e300, 0.0, 1e300], [1.0, 0.0], [0.0, 1.0, 0.0], []]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.rank) for r in graph.nearest(rows, rows.where("vec_id = 4")).orderBy("rank").collect()]
+    assert sorted(got) == [(0, 1), (1, 2), (2, 3)]
+    links = {r.vec_id: (r.n_links, r.component_id) for r in gridjoin.near_vectors(rows).collect()}
+    assert links == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (0, 3), 4: (0, 4), 5: (0, 5)}
+
+
+def test_near_parts_are_all_near_boxes(spark):
+    rng = np.random.default_rng(9)
+    low = rng.normal(size=(300, 3)) * 2
+    high = low + rng.random((300, 3)) * 0.5
+    boxes = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(low, high, strict=True))], "part long, low array<double>, high array<double>")
+    got = {tuple(r) for r in gridjoin.near_parts(boxes, 0.4, 3).collect()}
+    gap = np.maximum(0, np.maximum(low[:, None] - high[None], low[None] - high[:, None]))
+    a, b = np.nonzero((gap * gap).sum(2) <= (0.4 + 1e-9) ** 2)
+    assert got == {(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if i <= j}
+
+
+@pytest.mark.parametrize("part_rows", [10, 4096])
 def test_grid_join(spark, part_rows):
     vectors = mixed_vectors()
     good = [i for i, v in enumerate(vectors) if v is not None and None not in v and np.isfinite(v).all() and any(v)]
@@ -524,15 +733,53 @@ def test_toxicity_learns_and_holds_out(spark):
     assert got == again
 
 
-def test_toxicity_of_pairs():
-    rows, y = [], []
-    for i in range(800):  # label 1 only where both terms stand together
-        a, b = i % 2, i // 2 % 2
-        rows.append((np.array(sorted([10] * a + [20] * b + [100 + i % 7])), np.ones(a + b + 1, int), 5))
-        y.append(a & b)
-    m = toxicity.Machine.fit(rows, np.array(y), sum(y) / len(y))
-    p = 1 / (1 + np.exp(-m.logits(m.values(rows, m.terms))))
-    assert ((p >= 0.5) == np.array(y)).all()
+def noisy_pairs(label, n=2400):
+    rng, rows, y = np.random.default_rng(3), [], []
+    for _ in range(n):
+        a, b = (int(v) for v in rng.integers(0, 2, 2))
+        own = np.unique(np.concatenate([rng.integers(100, 2000, 25), [10] * a + [20] * b])).astype(np.int64)
+        rows.append((own, np.ones(len(own), np.int64), 30))
+        y.append(label(a, b))
+    return rows, np.array(y)
+
+
+@pytest.mark.parametrize("label", [lambda a, b: a & b, lambda a, b: a ^ b], ids=["both", "just one, so that neither tells alone"])
+def test_toxicity_of_pairs(label):
+    rows, y = noisy_pairs(label)
+    m = toxicity.Machine.fit(rows[:1600], y[:1600], 0.5)
+    assert {10, 20} <= set(m.terms.tolist())
+    assert ((m.logits(rows[1600:]) >= 0) == (y[1600:] == 1)).mean() > 0.97
+
+
+def test_logits_are_the_sums_over_pairs():
+    rng = np.random.default_rng(1)
+    m = toxicity.Machine(np.array([3, 5, 8, 13]), 0.25, rng.normal(size=5).astype("f4"), rng.normal(size=(5, 3)).astype("f4"))
+    rows = [(np.array([3, 4, 8]), np.array([2, 1, 1]), 9), (np.zeros(0, np.int64), np.zeros(0, np.int64), 0), (np.array([3, 5, 8, 13]), np.array([1, 4, 2, 7]), 40)]
+    for (own, counts, n), z in zip(rows, m.logits(rows), strict=True):
+        x = np.zeros(5)
+        for t, c in zip(own, counts, strict=True):
+            if t in m.terms:
+                x[m.terms.tolist().index(t)] = math.log1p(c)
+        x[4] = math.log1p(n) / 5
+        pairs = sum(float(m.factors[i] @ m.factors[j]) * x[i] * x[j] for i in range(5) for j in range(i))
+        assert z == pytest.approx(0.25 + float(m.weights @ x) + pairs, abs=1e-4)
+
+
+def test_contradictory_labels_do_not_count(spark):
+    docs, labels = labelled(spark, 200)
+    more = labels.union(spark.createDataFrame([(i, 1, 1) for i in range(0, 60, 2)] + [(i, 0, 0) for i in range(0, 60, 2)], labels.schema))
+    clean = labels.where("doc_id >= 60")
+    assert toxicity.train(docs, more).bias == toxicity.train(docs, clean).bias
+    a, b = (quality.train(docs, x) for x in (more, clean))
+    assert (a.weights == b.weights).all() and (a.content.weights == b.content.weights).all()
+
+
+def test_held_out_toxicity(spark, documents, texts, sf_dir):
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = toxicity.op10_factorization_machine(spark, sf_dir).collect()
+    assert len(rows) == len(texts) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) for r in rows)
+    own = [r for r in rows if r.held_out and marks.get(r.doc_id) is not None]
+    assert sum(r.predicted == marks[r.doc_id] for r in own) >= 0.95 * len(own)
 
 
 def test_quality_learns(spark):
@@ -541,6 +788,44 @@ def test_quality_learns(spark):
     assert all((s < quality.REJECT) == (i % 7 == 0) for i, s in got.items())
 
 
+def test_the_views_share_nothing():
+    """The page doesn't change with the words, the content not with where the page is from and how its lines lie."""
+    def view(text, source="s", language="l"):
+        return quality.row_views(pa.array([text]), [source], [language])[0]
+
+    a, b = view("One two three\nfour five"), view("Six siz seven\nnine nine")
+    assert (a[3] == b[3]).all() and a[0].tolist() != b[0].tolist()
+    c = view("One\ntwo\n\nthree four five", "t", None)
+    assert (a[3] != c[3]).any() and a[0].tolist() == c[0].tolist() and (a[2] == c[2]).all()
+
+
+def test_views_hand_over_to_each_other(spark):
+    """Words seen in unlabelled rows only are learnt by way of the page."""
+    rng, docs, labels = np.random.default_rng(2), [], []
+    for i in range(900):
+        good = i % 2
+        word = ("alpha" if good else "omega") if i < 60 else ("beta" if good else "psi")
+        docs.append((i, " ".join([word, *(f"w{rng.integers(50)}" for _ in range(20))]), "en", "fine" if good else "poor"))
+        if i < 60:
+            labels.append((i, good))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    probe = [(np.array(sorted({int(h) for h in quality.row_views(pa.array([w]), ["x"], ["y"])[0][0]})), np.ones(3, "f4"), *quality.row_views(pa.array([w]), ["x"], ["y"])[0][2:]) for w in ("beta", "psi")]
+    gaps = []
+    for rounds in (0, 2):
+        m = quality.train(docs, labels, rounds=rounds)
+        given = quality.score(docs, m).where("doc_id >= 60").collect()
+        gaps.append(np.mean([(r.quality >= 0.5) == (r.doc_id % 2 == 1) for r in given]))
+    assert len(probe) == 2 and gaps[1] >= gaps[0] and gaps[1] > 0.97
+
+
+def test_held_out_quality(spark, documents, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    m = quality.train(documents, labels.where("doc_id % 4 <> 3"))
+    marks = {r.doc_id: r.quality for r in labels.where("doc_id % 4 = 3").collect() if r.quality is not None}
+    rows = [r for r in quality.score(documents, m).collect() if r.doc_id in marks]
+    assert sum((r.quality >= quality.REJECT) == bool(marks[r.doc_id]) for r in rows) >= 0.9 * len(rows)
+
+
 @pytest.mark.parametrize("which", ["odd", "nothing"])
 def test_classifiers_on_odd_rows(spark, which):
     docs, labels = labelled(spark, 120)
