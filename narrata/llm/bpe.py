@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranges, without_pushdown
+from .common import of_kind, ranges
 
 #: Bytes of input for a range of pre-tokens.
 RANGE_BYTES = 64 << 20
@@ -187,9 +187,9 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     n, parts = ranges(docs, RANGE_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.mapInArrow(lambda batches: _blocks(batches, pattern, n, block_bytes), _SQL)
     rows = rows.repartition(parts, "key")
-    ids = rows.where(without_pushdown(F.col("kind") == 1)).sortWithinPartitions("key").mapInArrow(lambda batches: _encode_words(batches, path, pattern), "key long, payload binary")
+    ids = of_kind(rows, 1).sortWithinPartitions("key").mapInArrow(lambda batches: _encode_words(batches, path, pattern), "key long, payload binary")
     # Both readers share the exchange; the pre-tokens of a range never meet in a group.
-    blocks = rows.where(without_pushdown(F.col("kind") == 0))
+    blocks = of_kind(rows, 0)
     return blocks.groupBy("key").cogroup(ids.groupBy("key")).applyInArrow(lambda x, y: _reassemble(x, y, finish), f"doc_id long, {kinds}")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .bpe import pack_numbers, unpack_numbers
-from .common import ranges, without_pushdown
+from .common import of_kind, ranges
 from .words import _SPACE, Prefix, mix, raw_texts, word_spans
 
 _RNG = np.random.Generator(np.random.PCG64(8))
@@ -324,8 +324,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
         blocks, kind = (x.add("kept", rows.schema["kept"].dataType) for x in (blocks, kind))
     rows = rows.mapInArrow(lambda b: _blocks(b, n, block_bytes, keep_text, least), blocks).repartition(parts, "key")
     # Both readers share the exchange; the digests of a range meet in one group, documents in those of their blocks.
-    found = rows.where(without_pushdown(F.col("kind") == 1)).groupBy("key").applyInArrow(_match, "key long, payload binary")
-    texts = rows.where(without_pushdown(F.col("kind") == 0))
+    found = of_kind(rows, 1).groupBy("key").applyInArrow(_match, "key long, payload binary")
+    texts = of_kind(rows, 0)
     return texts.groupBy("key").cogroup(found.groupBy("key")).applyInArrow(lambda x, y: _repeats(x, y, least, keep_text, within), kind)
 
 

@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,9 +52,10 @@ def ranges(df: DataFrame, each: int) -> int:
     return max(least, -(-size // each)) if size < 1 << 58 else least
 
 
-def without_pushdown(keep: Column) -> Column:
-    """The condition, in a form that stays above an exchange, so that its readers share it."""
-    return F.when(F.rand() >= 0, keep)
+def of_kind(df: DataFrame, kind: int) -> DataFrame:
+    """The rows of an exchange's output with kind = `kind`. The condition holds a random zero, as the optimizer would push any
+    other below the exchange, and each reader would then make the rows anew."""
+    return df.where(F.col("kind") + F.floor(F.rand()) == kind)
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20, rows: int = 2000):
