@@ -4,8 +4,6 @@ if an earlier one that stays shares a band with it."""
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schema import PARAMS
+from ..sources.shared import written
 
 BANDS, ROWS = 8, 16
 
@@ -23,15 +22,6 @@ def flat_text(title, body):
     return X.strip(F.regexp_replace(F.lower(F.concat_ws(" ", title, body)), X.SPACES, " "))
 
 
-def _kept_table(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage by a table in the checkpoint folder."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="narrata-")
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def band_keys(rows: DataFrame, seed: int = PARAMS.seed) -> DataFrame:
     """(article_id, band, key) of each text of five characters or more."""
     rng = np.random.default_rng(seed)
@@ -67,7 +57,7 @@ def keep_first(articles: DataFrame, order: str = "day", window_days: int = 36500
     rows = articles.select("article_id", F.col(order).alias("at"), flat_text(F.col("title"), F.col("body")).alias("text"))
     keys = band_keys(rows).join(articles.select("article_id", F.col(order).alias("at")), "article_id")
     shared = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    open_ = _kept_table(keys.join(shared, ["band", "key"], "left_semi").distinct(), "band_keys")
+    open_ = written(keys.join(shared, ["band", "key"], "left_semi").distinct(), "band_keys")
     kept = open_.limit(0).select("band", "key", F.struct("at", "article_id").alias("k"))
     settled = open_.limit(0).select("article_id", F.lit(None).cast("string").alias("of"))
     while open_.limit(1).count():
@@ -76,11 +66,11 @@ def keep_first(articles: DataFrame, order: str = "day", window_days: int = 36500
         state = open_.join(heads, ["band", "key"]).join(kept, ["band", "key"], "left")
         near = (F.col("k") < own) & (F.date_diff("at", F.col("k.at")) <= window_days)
         verdict = state.groupBy("article_id").agg(F.min(F.when(near, F.col("k"))).alias("first"), F.bool_or(F.col("head") < own).alias("waits"))
-        verdict = _kept_table(verdict.where("first is not null or not waits").select("article_id", F.col("first.article_id").alias("of")), "verdicts")
-        settled = _kept_table(settled.union(verdict), "settled")
+        verdict = written(verdict.where("first is not null or not waits").select("article_id", F.col("first.article_id").alias("of")), "verdicts")
+        settled = written(settled.union(verdict), "settled")
         stays = open_.join(verdict.where("of is null").select("article_id"), "article_id", "left_semi")
-        kept = _kept_table(kept.union(stays.select("band", "key", own.alias("k"))), "kept")
-        open_ = _kept_table(open_.join(verdict.select("article_id"), "article_id", "left_anti"), "open")
+        kept = written(kept.union(stays.select("band", "key", own.alias("k"))), "kept")
+        open_ = written(open_.join(verdict.select("article_id"), "article_id", "left_anti"), "open")
     return articles.select("article_id").join(settled, "article_id", "left").select("article_id", F.col("of").isNotNull().alias("is_duplicate"), F.col("of").alias("duplicate_of"))
 
 

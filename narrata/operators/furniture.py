@@ -31,7 +31,7 @@ MONTH = (
 DATE = rf"(?:{MONTH}\.?\s+\d{{1,2}},?\s+\d{{4}}|\d{{1,2}}\s+{MONTH}\.?\s+\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}})"
 LEADING_DATE = rf"^\s*(?:published(?:\s+on)?\s*:?\s*)?{DATE}\b[\s,:.–—-]*"
 LEADING_PUBLISHED = r"^\s*published(?:\s+on)?\s*:\s*"
-LEADING_CREDIT = r"^\s*(?:editors?'?\s+note|editor's\s+note|author's\s+note|disclaimer|acknowledgement?s?)\s*[:\-].{0,300}?[.!?]\s+"
+LEADING_CREDIT = r"^\s*(?:editors?'?\s+note|editor'?s\s+note|author'?s\s+note|disclaimer|acknowledgement?s?)\s*[:\-].{0,300}?[.!?]\s+"
 DISCLAIMER = (
     r"(?:the\s+)?(?:views?|opinions?|analysis(?:\s+and\s+conclusions?)?)\s+(?:expressed|presented|set\s+forth)\b[^.]{0,320}?\bnot\s+necessarily\b[^.]{0,180}?\."
 )

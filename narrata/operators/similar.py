@@ -3,12 +3,15 @@ work is over clusters, after the floor; vectors are averaged before any pair is
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as X
 from ..schema import PARAMS
+from ..sources.shared import written
 
 #: Public names of the taxonomy's letters; those of macro-finance scope.
 CODES = "ABCDEFGHIJKLMNOPQRYZ"
@@ -26,17 +29,38 @@ def ranked(pairs: DataFrame, score: str, k: int) -> DataFrame:
     return pairs.withColumn("rank", best).where(F.col("rank") <= k)
 
 
-def pairs_of(rows: DataFrame, columns: list[str], key: str = "topic") -> DataFrame:
-    """All ordered pairs of different clusters, one row a cluster on each side; Spark streams one side in blocks."""
-    left = rows.select(F.col(key).alias("src"), *(F.col(c).alias(f"{c}_a") for c in columns))
-    right = rows.select(F.col(key).alias("dst"), *(F.col(c).alias(f"{c}_b") for c in columns))
-    return left.join(right, F.col("src") != F.col("dst"))
+def nearest_by(rows: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """(src, dst, score, rank): the k nearest of each topic by the dot product of its vector `u`, all of one length; equal scores (to
+    nine places) go to the smaller id. Topics are dealt to blocks of bounded size; a pair of blocks is a matrix product
+    that leaves k rows a topic."""
+    rows = written(rows.select("topic", "u"), "vectors")
+    n = max(1, -(-rows.count() // block))
+    dealt = rows.withColumn("slot", F.pmod(F.xxhash64("topic"), F.lit(n)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = dealt.withColumn("j", every).select(F.col("slot").alias("i"), "j", F.lit(0).alias("side"), "topic", "u")
+    right = dealt.withColumn("i", every).select("i", F.col("slot").alias("j"), F.lit(1), "topic", "u")
+
+    def product(table: pa.Table) -> pa.Table:
+        side, topic = (table.column(c).to_numpy() for c in ("side", "topic"))
+        u = np.array(table.column("u").to_pylist(), np.float64).reshape(len(side), -1)
+        src, dst = topic[side == 0], topic[side == 1]
+        if not len(src) or not len(dst):
+            return pa.table({"src": topic[:0], "dst": topic[:0], "score": np.zeros(0)})
+        score = u[side == 0] @ u[side == 1].T
+        score[src[:, None] == dst[None]] = -np.inf
+        order = np.lexsort((np.broadcast_to(dst, score.shape), -np.round(score, 9)), axis=1)[:, :k]
+        best = np.take_along_axis(score, order, 1)
+        row, col = np.nonzero(np.isfinite(best))
+        return pa.table({"src": src[row], "dst": dst[order[row, col]], "score": best[row, col]})
+
+    kind = dict(rows.dtypes)["topic"]
+    found = left.union(right).groupBy("i", "j").applyInArrow(product, f"src {kind}, dst {kind}, score double")
+    return ranked(found.withColumn("__by", F.round("score", 9)), "__by", k).drop("__by")
 
 
 def semantic(cents: DataFrame, k: int = PARAMS.panel_k) -> DataFrame:
-    """Nearest centroids by cosine; a zero centroid scores 0."""
-    rows = cents.select("topic", X.unit("centroid").alias("u"))
-    return ranked(pairs_of(rows, ["u"]).select("src", "dst", X.dot("u_a", "u_b").alias("score")), "score", k)
+    """Nearest centroids by cosine, which is also the weight of the map's edges; a zero centroid scores 0."""
+    return nearest_by(cents.select("topic", X.unit("centroid").alias("u")), k)
 
 
 def lexical(terms: DataFrame, k: int = PARAMS.panel_k) -> DataFrame:
@@ -64,7 +88,7 @@ def morphological(series: DataFrame, k: int = PARAMS.panel_k) -> DataFrame:
     mean = F.aggregate("y", F.lit(0.0), lambda s, v: s + v) / F.size("y")
     centred = X.bound(mean, lambda m: F.transform("y", lambda v: v - m))
     rows = rows.select("topic", X.bound(centred, X.unit).alias("u"))
-    return ranked(pairs_of(rows, ["u"]).select("src", "dst", X.dot("u_a", "u_b").alias("score")), "score", k)
+    return nearest_by(rows, k)
 
 
 def assign_codes(cents: DataFrame, prototypes: DataFrame) -> DataFrame:

@@ -138,3 +138,16 @@ def composition(rows: DataFrame, floor: int = PARAMS.floor_articles) -> DataFram
     """Distinct articles of surfaced topics by source."""
     kept = rows.join(surfaced(rows, floor).select("topic"), "topic", "left_semi")
     return kept.groupBy("source_id").agg(F.countDistinct("article_id").alias("n"))
+
+
+def spread_over_year(rows: DataFrame, key: str, year: str = "year", block: int = 1 << 16) -> DataFrame:
+    """rows with `day`: those of a year spread over it by their rank in the order of `key`, a number. Ranks are counted in blocks of
+    the key's values, so that no year lands in one task; a block's start is the count of the year's blocks before it."""
+    w = W.partitionBy(year)
+    blocked = rows.withColumn("__block", F.floor(F.col(key) / block))
+    counts = blocked.groupBy(year, "__block").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(w.orderBy("__block").rowsBetween(W.unboundedPreceding, -1))
+    starts = counts.select(year, "__block", F.coalesce(before, F.lit(0)).alias("__start"), F.sum("__n").over(w).alias("__all"))
+    own = blocked.withColumn("__row", F.row_number().over(W.partitionBy(year, "__block").orderBy(key)) - 1).join(starts, [year, "__block"])
+    share = (F.col("__start") + F.col("__row") + 0.5) / F.col("__all") * 364
+    return own.withColumn("day", F.date_add(F.make_date(year, F.lit(1), F.lit(1)), F.bround(share, 0).cast("int"))).select(*rows.columns, "day")

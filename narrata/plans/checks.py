@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import clustering as C
 from ..operators import qa as Q
 from ..operators import terms as M
 from ..sources import tables as T
+from ..sources.shared import folder
 from ..streaming import refresh as R
 from .registry import query
 from .text import ART
@@ -111,10 +110,15 @@ def gold_scores(spark, d):
     return Q.gold_scores(gold, terms, rows)
 
 
-@query("SELECT count(*) AS n, round(skewness_pop, 4) AS skewness FROM (SELECT o_totalprice AS v, (avg(power(o_totalprice - m, 3)) OVER ()) / power(avg(power(o_totalprice - m, 2)) OVER (), 1.5) AS skewness_pop FROM orders CROSS JOIN (SELECT avg(o_totalprice) AS m FROM orders)) GROUP BY skewness_pop")
+@query(
+    """WITH c AS (SELECT o_totalprice - avg(o_totalprice) OVER () AS x FROM orders), m AS (SELECT count(*) AS n, avg(x * x) AS m2, avg(x * x * x) AS m3, avg(x * x * x * x) AS m4 FROM c),
+s AS (SELECT n, m3 / power(m2, 1.5) AS skewness, m4 / (m2 * m2) - 3 AS kurtosis FROM m)
+SELECT n, round(skewness, 4) AS skewness, round(kurtosis, 4) AS kurtosis, round((skewness * skewness + 1) / (kurtosis + 3 * (n - 1.0) * (n - 1) / ((n - 2.0) * (n - 3))), 4) AS bimodality FROM s"""
+)
 def bimodality(spark, d):
-    """Moments behind the two-mode test."""
-    return C.two_modes(T.table(spark, d, "orders"), "o_totalprice").select("n", F.round("skewness", 4).alias("skewness"))
+    """Moments and Sarle's coefficient of two modes."""
+    out = C.two_modes(T.table(spark, d, "orders"), "o_totalprice")
+    return out.select("n", *(F.round(c, 4).alias(c) for c in ("skewness", "kurtosis", "bimodality")))
 
 
 @query(None)
@@ -144,17 +148,10 @@ def encode_text(spark, d):
     return C.encode(rows).select("conv_id", "turn", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v), 4).alias("length"))
 
 
-def _folder(spark) -> str:
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="narrata-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query("SELECT CAST(date_trunc('week', ts) AS DATE) AS week, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_weekly_counts(spark, d):
     """Events counted by week as a stream that ends; the last state is read back."""
-    root = _folder(spark)
+    root = folder(spark, "stream")
     rows = spark.read.parquet(f"{d}/events.parquet")
     stream = _event_stream(spark, d, rows.schema)
     counts = R.weekly_counts(stream.withColumn("time", F.col("ts").cast("timestamp")), "time", "event_type")
@@ -169,7 +166,7 @@ def _event_stream(spark, d, schema):
 @query("SELECT event_id, event_type FROM events")
 def stream_fresh_articles(spark, d):
     """Events without repeats within the buffer; the stream reads them twice."""
-    root = _folder(spark)
+    root = folder(spark, "stream")
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     stream = _event_stream(spark, d, schema).withColumn("time", F.col("ts").cast("timestamp"))
     twice = stream.unionByName(stream)

@@ -21,13 +21,16 @@ def _sunday(x: str) -> str:
     return f"CAST(CAST(date_trunc('week', {x}) AS DATE) + 6 AS DATE)"
 
 
-@query(
-    f"""{VOL}, dly AS (SELECT topic, day, count(DISTINCT article_id) AS n FROM vol WHERE topic <> -1 GROUP BY 1, 2),
+HEAT = f"""{VOL}, dly AS (SELECT topic, day, count(DISTINCT article_id) AS n FROM vol WHERE topic <> -1 GROUP BY 1, 2),
 fr AS (SELECT max(day) AS frontier FROM dly),
 wk AS (SELECT topic, {_sunday('day')} AS week, sum(n) AS n FROM dly GROUP BY 1, 2),
 sp AS (SELECT topic, CAST(unnest(generate_series({_sunday('min(day)')}, (SELECT CAST({_sunday('frontier + 1')} - 7 AS DATE) FROM fr), INTERVAL 7 DAY)) AS DATE) AS week FROM dly GROUP BY topic),
 x AS (SELECT topic, week, coalesce(n, 0) AS v, row_number() OVER (PARTITION BY topic ORDER BY week DESC) - 1 AS back FROM sp LEFT JOIN wk USING (topic, week)),
-g AS (SELECT topic, count(*) AS weeks, avg(v) FILTER (back < 16) AS rm, sum(v) FILTER (back < 16) AS rs, avg(v) FILTER (back >= 16 AND back < 68) AS bm, stddev_samp(v) FILTER (back >= 16 AND back < 68) AS sd FROM x GROUP BY 1)
+g AS (SELECT topic, count(*) AS weeks, avg(v) FILTER (back < 16) AS rm, sum(v) FILTER (back < 16) AS rs, avg(v) FILTER (back >= 16 AND back < 68) AS bm, stddev_samp(v) FILTER (back >= 16 AND back < 68) AS sd FROM x GROUP BY 1)"""
+
+
+@query(
+    f"""{HEAT}
 SELECT topic, (rm - bm) / (sd / 4) >= 2 AND rs >= 3 AS is_heating, round((rm - bm) / (sd / 4), 3) AS z, CAST(rs AS BIGINT) AS recent_articles FROM g WHERE weeks >= 68 AND sd > 0"""
 )
 def corpus_heating(spark, d):
@@ -35,6 +38,18 @@ def corpus_heating(spark, d):
     return S.corpus_heating(T.volume(spark, d))
 
 
+@query(
+    f"""{HEAT}
+SELECT topic, round((rm - bm) / (sd / 4), 3) AS z, CAST(row_number() OVER (ORDER BY round((rm - bm) / (sd / 4), 3) DESC, topic) AS INTEGER) AS place FROM g WHERE weeks >= 68 AND sd > 0 AND (rm - bm) / (sd / 4) >= 0"""
+)
+def heating_list(spark, d):
+    """Topics at or over their baseline, the hottest first: one row a topic, so one task ranks them."""
+    from pyspark.sql import Window as W
+
+    rows = S.corpus_heating(T.volume(spark, d)).where("z >= 0")
+    return rows.select("topic", "z", F.row_number().over(W.orderBy(F.desc("z"), "topic")).alias("place"))
+
+
 @query(
     f"""{VOL}, {ADJ}, a AS (SELECT topic, day, adjusted, (SELECT max(day) FROM adj WHERE topic <> -1) AS frontier FROM adj WHERE topic <> -1),
 s AS (SELECT topic, (frontier - day) // 7 AS back, sum(adjusted) AS v FROM a GROUP BY 1, 2),

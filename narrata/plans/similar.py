@@ -40,6 +40,12 @@ def semantic_topk(spark, d):
     return S.semantic(_cents(spark, d)).withColumn("score", F.round("score", 6))
 
 
+@query(f"{PAIRS} SELECT src, dst, round(score, 6) AS weight FROM r WHERE rank <= 10")
+def semantic_weighted(spark, d):
+    """Ten nearest clusters by meaning, with the weights of their edges."""
+    return S.semantic(_cents(spark, d), 10).select("src", "dst", F.round("score", 6).alias("weight"))
+
+
 @query(f"{PAIRS} SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(max(score), 6) AS weight FROM r WHERE rank <= 3 GROUP BY 1, 2")
 def semantic_edges(spark, d):
     """The map's edges: three nearest each, each pair once."""

@@ -268,12 +268,10 @@ SELECT doc_id, CAST(make_date(year, 1, 1) + CAST(round_even((k + 0.5) / n * 364,
 )
 def date_by_rank(spark, d):
     """Documents that only have a year, spread over it by rank."""
-    from pyspark.sql import Window as W
+    from ..operators.volume import spread_over_year
 
     rows = T.table(spark, d, "documents").select("doc_id", (F.lit(2010) + F.col("doc_id") % 5).cast("int").alias("year"))
-    k = F.row_number().over(W.partitionBy("year").orderBy("doc_id")) - 1
-    share = (k + 0.5) / F.count("*").over(W.partitionBy("year")) * 364
-    return rows.select("doc_id", F.date_add(F.make_date("year", F.lit(1), F.lit(1)), F.bround(share, 0).cast("int")).alias("day"))
+    return spread_over_year(rows, "doc_id").select("doc_id", "day")
 
 
 META = """x AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '<meta name="release-date" content="2014-05-06">' WHEN 1 THEN '<time datetime="2015-07-08T10:00:00Z">x</time>'

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schema import ARTICLE
 
@@ -14,8 +15,8 @@ EXCLUDED = ("ap_news", "apnews", "marketwatch", "reuters", "arxiv", "jackson_hol
 def scan(spark: SparkSession, path: str, exclude: tuple[str, ...] = EXCLUDED) -> DataFrame:
     """Articles of a file or folder of JSON lines. Blank lines are skipped, unknown keys dropped; a record whose source is
     excluded (in any case) is left out; malformed ones stay with _corrupt set, see `well_formed` and `malformed`."""
-    schema = ARTICLE.add("_corrupt", "string") if "_corrupt" not in ARTICLE.fieldNames() else ARTICLE
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path, pathGlobFilter="*.jsonl")
+    schema = StructType([*ARTICLE.fields, StructField("_corrupt", StringType())])
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path, pathGlobFilter="*.json*")
     rows = rows.withColumn("source_id", F.coalesce("source_id", "source")).drop("source")
     return rows.where(F.col("source_id").isNull() | ~F.lower("source_id").isin(*exclude))
 
