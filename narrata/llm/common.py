@@ -86,21 +86,20 @@ def bipartite_groups(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def star_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a long, b long): (node, component) for each node that has an edge;
     component is the smallest node of its component. Alternates large and small stars until nothing
-    changes, which takes rounds of the order of the logarithm of the nodes. Each round is written to the shared folder,
-    the one before it deleted. Each node's least neighbour is written too: joins then read plain exchanges on
-    both sides, so adaptive execution splits the fan of a hub. Only two numbers a round reach the driver. Null ends and
-    loops are no edges; no edges give no rows."""
+    changes, which takes rounds of the order of the logarithm of the nodes. Each round is written to the shared folder and the
+    one before it deleted; a round has one write, as small tables over many partitions cost more in writes than in
+    joins. Only two numbers a round reach the driver. Null ends and loops are no edges; no edges give no rows."""
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs, before = durable(pairs, name), None
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), f"{name}_low")
-        large = durable(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}_large")
-        least = durable(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}_least")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         two = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         small = large.join(least, "u").select(F.explode(two).alias("e"))
         new = durable(small.select("e.u", "e.v").where("u <> v").distinct(), name)
-        discard(pairs, low, large, least)
+        discard(pairs)
         pairs, now = new, tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
