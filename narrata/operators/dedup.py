@@ -3,6 +3,7 @@ if an earlier one that stays shares a band with it."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -28,22 +29,31 @@ def band_keys(rows: DataFrame, seed: int = PARAMS.seed) -> DataFrame:
     a = rng.integers(1, 2**32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
     b = rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64)
 
+    def keyed(ids, grams):
+        values, first = np.concatenate(grams), np.cumsum([0, *map(len, grams[:-1])])
+        low = np.stack([np.minimum.reduceat((values * x + y) & np.uint64(0xFFFFFFFF), first) for x, y in zip(a, b, strict=True)], 1)
+        keys = [hashlib.blake2b(row.tobytes(), digest_size=8).digest() for row in np.ascontiguousarray(low).reshape(-1, ROWS)]
+        bands = np.tile(np.arange(BANDS, dtype=np.int32), len(ids))
+        of = pa.array(ids, pa.string()).take(pa.array(np.repeat(np.arange(len(ids)), BANDS)))
+        return pa.RecordBatch.from_arrays([of, pa.array(bands), pa.array(np.frombuffer(b"".join(keys), "<i8"))], names=["article_id", "band", "key"])
+
     def run(batches):
         step = np.array([1, 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint64)
         for batch in batches:
-            ids, bands, keys = [], [], []
+            ids, held, size = [], [], 0
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 codes = np.frombuffer((text or "").encode("utf-32-le"), np.uint32).astype(np.uint64)
                 if len(codes) < 5:
                     continue
                 grams = sum(codes[k : len(codes) - 4 + k] * step[k] * step[(k + 1) % 5] for k in range(5))
-                grams = np.unique((grams ^ (grams >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32))
-                low = np.array([((grams * x + y) & np.uint64(0xFFFFFFFF)).min() for x, y in zip(a, b, strict=True)]).reshape(BANDS, ROWS)
-                for n, row in enumerate(low):
-                    ids.append(i)
-                    bands.append(n)
-                    keys.append(int.from_bytes(hashlib.blake2b(row.tobytes(), digest_size=8).digest(), "little", signed=True))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(bands, pa.int32()), pa.array(keys, pa.int64())], names=["article_id", "band", "key"])
+                ids.append(i)
+                held.append(np.unique((grams ^ (grams >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)))
+                size += len(held[-1])
+                if size > 1 << 18:
+                    yield keyed(ids, held)
+                    ids, held, size = [], [], 0
+            if ids:
+                yield keyed(ids, held)
 
     return rows.select("article_id", "text").mapInArrow(run, "article_id string, band int, key long")
 
@@ -58,20 +68,28 @@ def keep_first(articles: DataFrame, order: str = "day", window_days: int = 36500
     keys = band_keys(rows).join(articles.select("article_id", F.col(order).alias("at")), "article_id")
     shared = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     open_ = written(keys.join(shared, ["band", "key"], "left_semi").distinct(), "band_keys")
-    kept = open_.limit(0).select("band", "key", F.struct("at", "article_id").alias("k"))
-    settled = open_.limit(0).select("article_id", F.lit(None).cast("string").alias("of"))
-    while open_.limit(1).count():
-        own = F.struct("at", "article_id")
+    own = F.struct("at", "article_id")
+    kept, settled = [open_.limit(0).select("band", "key", own.alias("k"))], []
+    while not open_.isEmpty():
         heads = open_.groupBy("band", "key").agg(F.min(own).alias("head"))
-        state = open_.join(heads, ["band", "key"]).join(kept, ["band", "key"], "left")
+        state = open_.join(heads, ["band", "key"]).join(_whole(kept, "kept"), ["band", "key"], "left")
         near = (F.col("k") < own) & (F.date_diff("at", F.col("k.at")) <= window_days)
         verdict = state.groupBy("article_id").agg(F.min(F.when(near, F.col("k"))).alias("first"), F.bool_or(F.col("head") < own).alias("waits"))
         verdict = written(verdict.where("first is not null or not waits").select("article_id", F.col("first.article_id").alias("of")), "verdicts")
-        settled = written(settled.union(verdict), "settled")
-        stays = open_.join(verdict.where("of is null").select("article_id"), "article_id", "left_semi")
-        kept = written(kept.union(stays.select("band", "key", own.alias("k"))), "kept")
-        open_ = written(open_.join(verdict.select("article_id"), "article_id", "left_anti"), "open")
-    return articles.select("article_id").join(settled, "article_id", "left").select("article_id", F.col("of").isNotNull().alias("is_duplicate"), F.col("of").alias("duplicate_of"))
+        settled.append(verdict)
+        left = open_.join(verdict.withColumn("done", F.lit(True)), "article_id", "left").where("of is null")
+        left = written(left.select("article_id", "band", "key", "at", F.col("done").isNull().alias("open")), "open")
+        kept.append(left.where("not open").select("band", "key", own.alias("k")))
+        open_ = left.where("open").drop("open")
+    of = _whole(settled, "settled") if settled else articles.limit(0).select("article_id", F.lit(None).cast("string").alias("of"))
+    return articles.select("article_id").join(of, "article_id", "left").select("article_id", F.col("of").isNotNull().alias("is_duplicate"), F.col("of").alias("duplicate_of"))
+
+
+def _whole(parts: list[DataFrame], name: str) -> DataFrame:
+    """The parts together; sixteen of them become one table, so that plans stay short however many rounds there are."""
+    if len(parts) >= 16:
+        parts[:] = [written(functools.reduce(DataFrame.union, parts), name)]
+    return functools.reduce(DataFrame.union, parts)
 
 
 def exact(rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -267,4 +267,4 @@ def card_signature(spark, d):
     from .similar import _topics
 
     rows = _topics(spark, d).groupBy("topic").agg(F.array_sort(F.collect_set("source_id")).alias("s"), F.min_by("body", "article_id").alias("b"))
-    return rows.select("topic", K.signature(F.col("s"), F.array(F.substring("b", 1, 80)), F.col("s"), "none", "1").alias("signature"))
+    return rows.select("topic", K.signature(F.col("s"), F.array("b"), F.col("s"), "none", "1").alias("signature"))

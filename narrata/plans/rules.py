@@ -42,12 +42,12 @@ def role_guard(spark, d):
 
 
 @query(
-    """SELECT CAST(o_orderdate AS DATE) AS day, round(avg(o_totalprice) FILTER (o_orderstatus = 'F'), 6) AS "F", round(avg(o_totalprice) FILTER (o_orderstatus = 'O'), 6) AS "O", CAST(NULL AS DOUBLE) AS "X" FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1"""
+    """SELECT CAST(o_orderdate AS DATE) AS day, round(avg(o_totalprice) FILTER (o_orderstatus = 'F'), 6) AS "F", round(avg(o_totalprice) FILTER (o_orderstatus = 'O'), 6) AS "O", round(avg(o_totalprice) FILTER (o_orderstatus = 'P'), 6) AS "P", CAST(NULL AS DOUBLE) AS "X" FROM orders GROUP BY 1"""
 )
 def wide_series(spark, d):
     """Several series side by side, one of them without rows."""
     rows = T.table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("series"), F.col("o_orderdate").cast("date").alias("day")).agg(F.round(F.avg("o_totalprice"), 6).alias("value"))
-    return R.wide(rows.where("series in ('F', 'O')"), ["F", "O", "X"])
+    return R.wide(rows, ["F", "O", "P", "X"])
 
 
 @query("SELECT 'status' AS key, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'priority', o_orderpriority, count(*) FROM orders GROUP BY 2")
@@ -63,15 +63,14 @@ def source_frontier(spark, d):
 
 
 @query(
-    """SELECT o_orderkey AS id, 'both' AS side FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 5)
-UNION ALL SELECT DISTINCT l_orderkey, 'only right' FROM lineitem WHERE l_linenumber = 5 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)"""
+    """SELECT id, CASE WHEN l.id IS NULL THEN 'only right' WHEN r.id IS NULL THEN 'only left' ELSE 'both' END AS side
+FROM (SELECT DISTINCT doc_id AS id FROM documents WHERE doc_id IS NOT NULL) l FULL JOIN (SELECT DISTINCT doc_id AS id FROM labels WHERE doc_id IS NOT NULL) r USING (id)"""
 )
 def known_and_missing(spark, d):
     """Ids in both lists, and those that one lacks."""
-    left = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
-    right = T.table(spark, d, "lineitem").where("l_linenumber = 5").select(F.col("l_orderkey").alias("id")).distinct()
-    both = left.join(right, "id", "left_semi").withColumn("side", F.lit("both"))
-    return both.unionAll(right.join(left.where("id % 2 = 0"), "id", "left_anti").withColumn("side", F.lit("only right")))
+    known, wanted = (T.table(spark, d, name).select(F.col("doc_id").alias("id")).where("id is not null").distinct() for name in ("documents", "labels"))
+    rows = known.withColumn("l", F.lit(True)).join(wanted.withColumn("r", F.lit(True)), "id", "full")
+    return rows.select("id", F.when(F.col("l").isNull(), "only right").when(F.col("r").isNull(), "only left").otherwise("both").alias("side"))
 
 
 @query(f"WITH {EVENTS_SQL} SELECT event_date, count(*) AS n FROM (SELECT event_date FROM ev UNION ALL SELECT event_date FROM ev WHERE event_label LIKE 'CPI%') GROUP BY 1")

@@ -202,13 +202,13 @@ def monthly_corr(spark, d):
 
 
 @query(
-    f"""{VOL}, {ADJ}, p AS (SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+    f"""{VOL}, {ADJ}, p AS (SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT topic, day, n_1 AS n FROM (SELECT topic, a.day, p.n AS n_1 FROM adj a LEFT JOIN p USING (day))"""
 )
 def overlay_on_grid(spark, d):
     """An external series on each topic's days."""
     grid = V.adjusted_volume(T.volume(spark, d)).select("topic", "day")
-    press = T.press(spark, d).where("query = 'R'").select("day", F.col("story_count").alias("n"))
+    press = T.press(spark, d).groupBy("day").agg(F.sum("story_count").alias("n"))
     return O.on_grid(grid, press, "n").select("topic", "day", "n")
 
 

@@ -225,6 +225,12 @@ def minhash_keep_first(spark, d):
     return D.keep_first(T.articles(spark, d))
 
 
+@query(None)
+def minhash_keep_first_in_window(spark, d):
+    """Near duplicates of at most thirty days before, the earliest kept; a later copy starts anew."""
+    return D.keep_first(T.articles(spark, d), window_days=30)
+
+
 @query(
     """WITH e AS (SELECT vec_id % 100 AS article_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)
 SELECT article_id, CAST(pos AS INTEGER) AS pos, round(avg(CAST(v AS DOUBLE)), 6) AS mean FROM e GROUP BY 1, 2"""

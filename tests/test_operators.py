@@ -234,3 +234,24 @@ def test_keep_first_of_a_large_bucket_and_a_chain(spark):
             kept.append(name)
         assert got[name].is_duplicate == (name not in kept)
     assert 1 < len(kept) < 12
+
+
+def test_keep_first_within_a_window(spark):
+    text = " ".join(f"Word{i} stands here" for i in range(60))
+    days = [0, 10, 29, 30, 31, 45, 62, 63, 200]
+    rows = articles(spark, [text] * len(days)).drop("day")
+    day_of = spark.createDataFrame([(f"a{i}", DAY + dt.timedelta(days=n)) for i, n in enumerate(days)], "article_id string, day date")
+    got = {r.article_id: r.duplicate_of for r in D.keep_first(rows.join(day_of, "article_id"), window_days=30).collect()}
+    kept, want = [], {}
+    for i, n in enumerate(days):  # the rule, one by one
+        near = [j for j in kept if n - days[j] <= 30]
+        want[f"a{i}"] = f"a{near[0]}" if near else None
+        if not near:
+            kept.append(i)
+    assert got == want and len(kept) == 4
+
+
+def test_keep_first_of_nothing(spark):
+    rows = articles(spark, ["ab", None, ""])
+    assert [r.is_duplicate for r in D.keep_first(rows).collect()] == [False] * 3
+    assert D.keep_first(rows.limit(0)).count() == 0
