@@ -98,7 +98,7 @@ def carry_names(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select("topic", F.col("name").alias("__o")).join(new.select("topic", F.col("name").alias("__n")), "topic", "full").select("topic", F.coalesce("__n", "__o").alias("name"))
 
 
-def merge_shards(shards: DataFrame, key: str, shard: str) -> DataFrame:
-    """One row a key: the first shard's."""
-    best = F.row_number().over(W.partitionBy(key).orderBy(shard))
+def merge_shards(shards: DataFrame, key: str, shard: str, *place: str) -> DataFrame:
+    """One row a key: the first shard's, of several the first by place; rows without a shard come last."""
+    best = F.row_number().over(W.partitionBy(key).orderBy(F.asc_nulls_last(shard), *place))
     return shards.withColumn("__r", best).where("__r = 1").drop("__r")

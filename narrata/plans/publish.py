@@ -113,9 +113,10 @@ def carry_names(spark, d):
 
 @query("SELECT l_orderkey AS article_id, l_linenumber AS shard, l_quantity AS v FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = 1")
 def merge_shards(spark, d):
-    """One row a key, the first shard's."""
-    rows = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("article_id"), F.col("l_linenumber").alias("shard"), F.col("l_quantity").alias("v"))
-    return I.merge_shards(rows, "article_id", "shard")
+    """One row a key, the first shard's; where a shard has a key twice, the first in the file."""
+    place = F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")
+    rows = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("article_id"), F.col("l_linenumber").alias("shard"), F.col("l_quantity").alias("v"), *place)
+    return I.merge_shards(rows, "article_id", "shard", "__file", "__row").drop("__file", "__row")
 
 
 @query("SELECT o_orderkey % 4 AS shard, count(*) AS n, count(*) FILTER (o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 4)) AS open FROM orders GROUP BY 1")
