@@ -3,13 +3,13 @@ if an earlier one that stays shares a band with it."""
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..schema import PARAMS
@@ -20,76 +20,108 @@ BANDS, ROWS = 8, 16
 
 def flat_text(title, body):
     """Lower case, single spaces, bare ends."""
-    return X.strip(F.regexp_replace(F.lower(F.concat_ws(" ", title, body)), X.SPACES, " "))
+    return F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", title, body)), X.SPACES, " "))
 
 
-def band_keys(rows: DataFrame, seed: int = PARAMS.seed) -> DataFrame:
-    """(article_id, band, key) of each text of five characters or more."""
+def _hashed(rows: DataFrame, seed: int = PARAMS.seed) -> DataFrame:
+    """rows' columns but the text, and keys (one a band) of each text of five characters or more."""
     rng = np.random.default_rng(seed)
-    a = rng.integers(1, 2**32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-    b = rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64)
+    a = (rng.integers(1, 2**32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+    b = rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
+    rest = [c for c in rows.columns if c != "text"]
+    schema = T.StructType([*(rows.schema[c] for c in rest), T.StructField("keys", T.ArrayType(T.LongType()))])
 
-    def keyed(ids, grams):
+    def keyed(kept, at, grams):
         values, first = np.concatenate(grams), np.cumsum([0, *map(len, grams[:-1])])
-        low = np.stack([np.minimum.reduceat((values * x + y) & np.uint64(0xFFFFFFFF), first) for x, y in zip(a, b, strict=True)], 1)
-        keys = [hashlib.blake2b(row.tobytes(), digest_size=8).digest() for row in np.ascontiguousarray(low).reshape(-1, ROWS)]
-        bands = np.tile(np.arange(BANDS, dtype=np.int32), len(ids))
-        of = pa.array(ids, pa.string()).take(pa.array(np.repeat(np.arange(len(ids)), BANDS)))
-        return pa.RecordBatch.from_arrays([of, pa.array(bands), pa.array(np.frombuffer(b"".join(keys), "<i8"))], names=["article_id", "band", "key"])
+        low, held = np.empty((BANDS * ROWS, len(grams)), np.uint32), np.empty_like(values)  # modulo 2**32
+        for i in range(BANDS * ROWS):
+            np.multiply(values, a[i], out=held)
+            np.add(held, b[i], out=held)
+            np.minimum.reduceat(held, first, out=low[i])
+        digests = b"".join(hashlib.blake2b(row, digest_size=8).digest() for row in np.ascontiguousarray(low.T).astype(np.uint64).reshape(-1, ROWS))
+        keys = pa.ListArray.from_arrays(np.arange(0, BANDS * len(at) + 1, BANDS, dtype=np.int32), pa.array(np.frombuffer(digests, "<i8")))
+        own = kept.take(pa.array(at))
+        return pa.RecordBatch.from_arrays([*own.columns, keys], names=[*rest, "keys"])
 
     def run(batches):
         step = np.array([1, 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint64)
         for batch in batches:
-            ids, held, size = [], [], 0
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                codes = np.frombuffer((text or "").encode("utf-32-le"), np.uint32).astype(np.uint64)
+            kept = batch.select(rest)
+            at, held, size = [], [], 0
+            for i, text in enumerate(batch.column("text")):
+                codes = np.frombuffer((text.as_py() or "").encode("utf-32-le"), np.uint32).astype(np.uint64)
                 if len(codes) < 5:
                     continue
                 grams = sum(codes[k : len(codes) - 4 + k] * step[k] * step[(k + 1) % 5] for k in range(5))
-                ids.append(i)
-                held.append(np.unique((grams ^ (grams >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)))
+                at.append(i)
+                held.append(((grams ^ (grams >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32))
                 size += len(held[-1])
-                if size > 1 << 18:
-                    yield keyed(ids, held)
-                    ids, held, size = [], [], 0
-            if ids:
-                yield keyed(ids, held)
+                if size > 1 << 15:  # stays in the cache
+                    yield keyed(kept, at, held)
+                    at, held, size = [], [], 0
+            if at:
+                yield keyed(kept, at, held)
+
+    return rows.select(*rest, "text").mapInArrow(run, schema)
 
-    return rows.select("article_id", "text").mapInArrow(run, "article_id string, band int, key long")
+
+def band_keys(rows: DataFrame, seed: int = PARAMS.seed) -> DataFrame:
+    """(article_id, band, key) of each text of five characters or more."""
+    return _hashed(rows.select("article_id", "text"), seed).select("article_id", F.posexplode("keys").alias("band", "key"))
 
 
 def keep_first(articles: DataFrame, order: str = "day", window_days: int = 36500) -> DataFrame:
     """(article_id, is_duplicate, duplicate_of): articles in the order of (order, article_id); one that shares a band with
-    an earlier one that stays, within the window, goes. Members of a bucket are never paired: each round asks of a bucket
-    only its earliest open member and its kept ones (which lie further apart than the window). An article goes once an
-    earlier kept one is near, and stays once it is the earliest open one of all its buckets; the earliest of all is, so
-    rounds end, and a bucket of copies takes two."""
+    an earlier one that stays, within the window, goes, as a duplicate of the earliest such. Rows of one id are one article; one
+    without a date or an id stays and holds for none. Articles that buckets connect are gone through in order, in one stream
+    each: it holds the last kept one of each bucket, those before lie outside the window. Articles of one date and the
+    same buckets are one row of it, so copies add as many rows as there are dates."""
     rows = articles.select("article_id", F.col(order).alias("at"), flat_text(F.col("title"), F.col("body")).alias("text"))
-    keys = band_keys(rows).join(articles.select("article_id", F.col(order).alias("at")), "article_id")
-    shared = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    open_ = written(keys.join(shared, ["band", "key"], "left_semi").distinct(), "band_keys")
-    own = F.struct("at", "article_id")
-    kept, settled = [open_.limit(0).select("band", "key", own.alias("k"))], []
-    while not open_.isEmpty():
-        heads = open_.groupBy("band", "key").agg(F.min(own).alias("head"))
-        state = open_.join(heads, ["band", "key"]).join(_whole(kept, "kept"), ["band", "key"], "left")
-        near = (F.col("k") < own) & (F.date_diff("at", F.col("k.at")) <= window_days)
-        verdict = state.groupBy("article_id").agg(F.min(F.when(near, F.col("k"))).alias("first"), F.bool_or(F.col("head") < own).alias("waits"))
-        verdict = written(verdict.where("first is not null or not waits").select("article_id", F.col("first.article_id").alias("of")), "verdicts")
-        settled.append(verdict)
-        left = open_.join(verdict.withColumn("done", F.lit(True)), "article_id", "left").where("of is null")
-        left = written(left.select("article_id", "band", "key", "at", F.col("done").isNull().alias("open")), "open")
-        kept.append(left.where("not open").select("band", "key", own.alias("k")))
-        open_ = left.where("open").drop("open")
-    of = _whole(settled, "settled") if settled else articles.limit(0).select("article_id", F.lit(None).cast("string").alias("of"))
-    return articles.select("article_id").join(of, "article_id", "left").select("article_id", F.col("of").isNotNull().alias("is_duplicate"), F.col("of").alias("duplicate_of"))
-
-
-def _whole(parts: list[DataFrame], name: str) -> DataFrame:
-    """The parts together; sixteen of them become one table, so that plans stay short however many rounds there are."""
-    if len(parts) >= 16:
-        parts[:] = [written(functools.reduce(DataFrame.union, parts), name)]
-    return functools.reduce(DataFrame.union, parts)
+    hashed = _hashed(rows.where("article_id is not null and at is not null")).withColumn("keys", F.transform("keys", lambda key, band: F.xxhash64(band, key)))
+    whole = hashed.groupBy("article_id").agg(F.min("at").alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("keys"))
+    nodes = written(whole.withColumn("class", F.xxhash64("keys")), "band_keys")
+    points = written(nodes.join(_connected(nodes), "class").drop("class"), "connected")
+    firsts = points.groupBy("group", "at", "keys").agg(F.min("article_id").alias("first"))
+    in_order = firsts.withColumn("day", F.date_diff("at", F.lit("1970-01-01"))).repartition("group").sortWithinPartitions("group", "at", "first")
+    columns = ["at", "keys", "first"]
+    schema = T.StructType([*(firsts.schema[c] for c in columns), T.StructField("of", T.StringType())])
+
+    def run(batches):
+        group, place = None, 0
+        last: dict[int, tuple[int, int, str]] = {}  # of a bucket: place, day and id of its last kept article
+        for batch in batches:
+            of = []
+            for g, day, name, keys in zip(*(batch.column(c).to_pylist() for c in ("group", "day", "first", "keys")), strict=True):
+                if g != group:
+                    group, place, last = g, 0, {}
+                near = min((k for key in keys if (k := last.get(key)) and day - k[1] <= window_days), default=None)
+                of.append(near and near[2])
+                if near is None:
+                    last |= dict.fromkeys(keys, (place, day, name))
+                place += 1
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(of, pa.string())], names=[*columns, "of"])
+
+    verdict = in_order.mapInArrow(run, schema)
+    of = F.when(F.col("article_id") == F.col("first"), F.col("of")).otherwise(F.coalesce("of", "first"))
+    gone = points.join(verdict, ["at", "keys"]).select("article_id", of.alias("of")).where("of is not null")
+    return articles.select("article_id").join(gone, "article_id", "left").select("article_id", F.col("of").isNotNull().alias("is_duplicate"), F.col("of").alias("duplicate_of"))
+
+
+def _connected(nodes: DataFrame) -> DataFrame:
+    """(class, group) of the classes of nodes (class, keys) that share a key with another node: groups are what keys connect.
+    A round takes each class to the smallest group of its keys' classes, and on to that one's group."""
+    links = nodes.select("class", F.explode("keys").alias("key")).groupBy("class", "key").agg(F.count("*").alias("n"))
+    shared = links.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    links = written(links.join(shared, "key", "left_semi").select("class", "key"), "links")
+    groups, at = links.withColumn("group", F.col("class")), None
+    while True:
+        low = links.join(groups.groupBy("key").agg(F.min("group").alias("group")), "key").groupBy("class").agg(F.min("group").alias("group"))
+        old = low.withColumn("was", F.col("class")) if at is None else low.join(at.select("class", F.col("group").alias("was")), "class")
+        on = low.select(F.col("class").alias("group"), F.col("group").alias("on"))
+        at = written(old.join(on, "group").select("class", F.least("group", "on").alias("group"), "was"), "groups")
+        if at.where("group <> was").isEmpty():
+            return at.select("class", "group")
+        groups = links.join(at, "class")
 
 
 def exact(rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -270,3 +270,31 @@ def test_merge_shards_takes_the_first_in_the_files(spark, tmp_path):
     con = connect(str(tmp_path))
     con.execute("SET threads = 1")  # with more the SQL's own choice among repeated shards varies
     assert not compare(plans.load()[0]["merge_shards"](spark, str(tmp_path)), plans.load()[1]["merge_shards"], con)
+
+
+def test_keep_first_within_a_window_takes_few_rounds(spark, monkeypatch):
+    tables = []
+
+    def counted(df, name, real=D.written):
+        tables.append(name)
+        assert len(tables) < 15, "a round a kept article"
+        return real(df, name)
+
+    monkeypatch.setattr(D, "written", counted)
+    base = [f"word{i}" for i in range(200)]
+    texts = [" ".join([f"new{j}" for j in range(5 * i)] + base[5 * i :]) for i in range(6)]  # each a little further from the first
+    n = 300
+    day_of = {f"a{i}": DAY + dt.timedelta(days=i * 37 % 1009) for i in range(n)}
+    rows = articles(spark, [texts[i % 7 % 6] for i in range(n)]).drop("day")
+    dated = rows.join(spark.createDataFrame(list(day_of.items()), "article_id string, day date"), "article_id").localCheckpoint()
+    extra = spark.createDataFrame([("a0", "s", "", texts[0], DAY + dt.timedelta(days=500)), ("none", "s", "", texts[0], None), (None, "s", "", texts[0], DAY)], dated.select("article_id", "source_id", "title", "body", "day").schema)
+    got = {r.article_id: r.duplicate_of for r in D.keep_first(dated.unionByName(extra), window_days=30).collect()}
+    keys, kept, want = {}, [], {"none": None, None: None}
+    for r in D.band_keys(rows.select("article_id", D.flat_text(F.col("title"), F.col("body")).alias("text"))).collect():
+        keys.setdefault(r.article_id, set()).add((r.band, r.key))
+    for name in sorted(day_of, key=lambda a: (day_of[a], a)):  # the rule, one by one; the repeated id counts by its first date
+        near = [k for k in kept if keys[k] & keys[name] and (day_of[name] - day_of[k]).days <= 30]
+        want[name] = near[0] if near else None
+        if not near:
+            kept.append(name)
+    assert got == want and 30 < len(kept) < n and len({frozenset(k) for k in keys.values()}) > 3
